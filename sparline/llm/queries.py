@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparline.functions.text import commit_key, trimmed
+from sparline.functions.text import commit_key, split_key, trimmed
 from sparline.llm.mixing import Mix, mix
+from sparline.llm.overlap import split_overlap, word_hashes
 from sparline.llm.packing import pack
 from sparline.llm.pieces import commit_pieces
+from sparline.llm.spam import spam
 from sparline.llm.topn import top_n
 from sparline.plans.catalog import Catalog
+from sparline.session import cut
 from sparline.sources.parquet import table
 
 CATALOG = Catalog()
@@ -134,3 +137,105 @@ def p7_mix(spark: SparkSession, directory: str) -> DataFrame:
 def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     """Target and reached share of every source."""
     return mixture(spark, directory).report
+
+
+NEAR_SAME = 0.7
+
+_SPLIT = f"""CASE WHEN lower({_TRIM.format("split")}) IN ('train', 'training', 'tr', 'trn') THEN 'train'
+             WHEN lower({_TRIM.format("split")}) IN ('valid', 'validation', 'val', 'dev') THEN 'valid'
+             WHEN lower({_TRIM.format("split")}) IN ('test', 'testing', 'tst', 'te') THEN 'test' END"""
+_OVERLAP = rf"""WITH m AS (SELECT DISTINCT lower({_TRIM.format("commit_id")}) AS id, {_SPLIT} AS split FROM commit_meta WHERE commit_id IS NOT NULL),
+    line AS (SELECT lower({_TRIM.format("commit_id")}) AS id, unnest(lines) AS l FROM hunk_specs),
+    w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(l.raw_text), '[a-z0-9_]+')) AS word FROM line WHERE l.change_type IN ('added', 'deleted')),
+    n AS (SELECT id, count(*) AS n FROM w GROUP BY 1),
+    c AS (SELECT a.id AS t, b.id AS e, count(*) AS c FROM w a JOIN w b ON a.word = b.word AND a.id <> b.id
+          WHERE a.id IN (SELECT id FROM m WHERE split = 'train') AND b.id IN (SELECT id FROM m WHERE split IN ('valid', 'test')) GROUP BY 1, 2),
+    near AS (SELECT t, e FROM c JOIN n a ON a.id = t JOIN n b ON b.id = e WHERE c.c >= 0.7::DOUBLE * (a.n + b.n - c.c)),
+    x AS (SELECT lower({_TRIM.format("commit_hash")}) AS h, {_SPLIT} AS split FROM excluded_commits_summary),
+    o AS (SELECT 'commit_meta' AS source_table, b.split, a.id AS t, b.id AS e FROM m a JOIN m b ON a.id = b.id WHERE a.split = 'train' AND b.split IN ('valid', 'test')
+          UNION ALL SELECT 'commit_meta', split, t, e FROM near JOIN m ON m.id = e AND split IN ('valid', 'test')
+          UNION ALL SELECT 'excluded_commits_summary', x.split, m.id, m.id FROM x JOIN m ON starts_with(m.id, x.h) AND length(x.h) >= 12
+          WHERE m.split = 'train' AND x.split IN ('valid', 'test'))"""
+
+
+def overlap_members(spark: SparkSession, directory: str) -> DataFrame:
+    """record, splits (distinct, sorted), is_train, is_eval of every commit of commit_meta."""
+    rows = table(spark, directory, "commit_meta").where(F.col("commit_id").isNotNull())
+    rows = rows.select(commit_key(F.col("commit_id")).alias("record"), split_key(F.col("split")).alias("split")).where(F.col("split").isNotNull())
+    members = rows.groupBy("record").agg(F.array_sort(F.collect_set("split")).alias("splits"))
+    held = F.array_remove("splits", "train")
+    return members.withColumns({"is_train": F.array_contains("splits", "train"), "is_eval": F.size(held) > 0, "held": held})
+
+
+def changed_words(spark: SparkSession, directory: str) -> DataFrame:
+    """record and terms, the words of the added and deleted lines of one hunk."""
+    changed = F.filter("lines", lambda x: F.lower(trimmed(x["change_type"])).isin("added", "deleted"))
+    text = F.array_join(F.transform(changed, lambda x: x["raw_text"]), "\n")
+    return table(spark, directory, "hunk_specs").select(commit_key(F.col("commit_id")).alias("record"), word_hashes(text).alias("terms"))
+
+
+def overlaps(spark: SparkSession, directory: str) -> DataFrame:
+    """source_table, split, train, held: a held-out record and the training commit that it repeats, once per split."""
+    members = cut(overlap_members(spark, directory))
+    records, _, pairs = split_overlap(members, changed_words(spark, directory), NEAR_SAME)
+    t = records.where("is_train").select(F.col("class_id").alias("train_class"), F.col("record").alias("train"))
+    e = records.where("is_eval").select(F.col("class_id").alias("eval_class"), F.col("record").alias("held"), F.explode("held").alias("split"))
+    near = pairs.join(t, "train_class").join(e, "eval_class").where("train <> held").select("split", "train", "held")
+    same = members.where("is_train").select(F.explode("held").alias("split"), F.col("record").alias("train"), F.col("record").alias("held"))
+    meta = near.unionAll(same).select(F.lit("commit_meta").alias("source_table"), "split", "train", "held")
+
+    rows = table(spark, directory, "excluded_commits_summary").select(commit_key(F.col("commit_hash")).alias("hash"), split_key(F.col("split")).alias("split"))
+    rows = rows.where(F.col("split").isin("valid", "test") & (F.length("hash") >= 12)).distinct()
+    trained = members.where("is_train").select("record")
+    short = F.substring("hash", 1, 12) == F.substring("record", 1, 12)
+    there = rows.join(trained, short & F.expr("startswith(record, hash)"))
+    excluded = there.select(F.lit("excluded_commits_summary").alias("source_table"), "split", F.col("record").alias("train"), F.col("record").alias("held"))
+    return meta.unionAll(excluded.distinct())
+
+
+@CATALOG.query("p3_found", f"{_OVERLAP} SELECT DISTINCT source_table, least(t, e) AS commit_a, greatest(t, e) AS commit_b FROM o")
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    pairs = overlaps(spark, directory)
+    return pairs.select("source_table", F.least("train", "held").alias("commit_a"), F.greatest("train", "held").alias("commit_b")).distinct()
+
+
+@CATALOG.query(
+    "p3_overlap_counts",
+    f"""{_OVERLAP} SELECT source_table, split, count(DISTINCT (t, e)) AS n_pairs, count(DISTINCT e) AS n_held, count(DISTINCT t) AS n_train
+    FROM o GROUP BY 1, 2""",
+)
+def p3_overlap_counts(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs, held-out commits and training commits in them, per source table and evaluation split."""
+    found = overlaps(spark, directory)
+    by = ["source_table", "split"]
+    pairs = found.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"))
+    held = found.select(*by, "held").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_held"))
+    train = found.select(*by, "train").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_train"))
+    return pairs.join(held, by).join(train, by)
+
+
+@CATALOG.query("p3_links")
+def p3_links(spark: SparkSession, directory: str) -> DataFrame:
+    """Every commit with changed words: its class of equal word sets and its number of links across the splits."""
+    members = cut(overlap_members(spark, directory))
+    records, _, pairs = split_overlap(members, changed_words(spark, directory), NEAR_SAME)
+    sizes = records.groupBy("class_id").agg(F.count_if("is_train").alias("n_train"), F.count_if("is_eval").alias("n_eval"))
+    to_train = pairs.join(sizes, pairs["train_class"] == sizes["class_id"]).groupBy(F.col("eval_class").alias("class_id")).agg(F.sum("n_train").alias("to_train"))
+    to_eval = pairs.join(sizes, pairs["eval_class"] == sizes["class_id"]).groupBy(F.col("train_class").alias("class_id")).agg(F.sum("n_eval").alias("to_eval"))
+    out = records.join(to_train, "class_id", "left").join(to_eval, "class_id", "left")
+    itself = (F.col("is_train") & F.col("is_eval")).cast("bigint")
+    links = F.when(F.col("is_eval"), F.coalesce("to_train", F.lit(0)) - itself).otherwise(0) + F.when(
+        F.col("is_train"), F.coalesce("to_eval", F.lit(0)) - itself
+    ).otherwise(0)
+    return out.select(F.col("record").alias("commit_id"), "class_id", links.alias("n_links"))
+
+
+@CATALOG.query("p8_found")
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return spam(table(spark, directory, "documents")).select("doc_id")
+
+
+@CATALOG.query("p8_spam")
+def p8_spam(spark: SparkSession, directory: str) -> DataFrame:
+    """The found pages with the measures behind the decision."""
+    return spam(table(spark, directory, "documents"))
