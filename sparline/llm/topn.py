@@ -1,7 +1,7 @@
 """The N best items of every group, under partition lower bounds.
 
-Pass 1 finds in every input partition the N-th best distinct item of each group that has
-N there; the best of these over all partitions bounds the group from below, because N
+Pass 1 finds in every input partition the N-th best distinct item of each group that is
+large there; the best of these over all partitions bounds the group from below, because N
 distinct items at least as good exist. Pass 2 joins the bound, drops all rows under it
 where they are read, and ranks what is left.
 """
@@ -13,16 +13,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparline.session import cut
 
-#: Rows that pass 1 gathers before it reduces them to the N best of each group.
+#: Rows of an input partition that pass 1 takes together.
 CHUNK = 200_000
 #: So many bounds at most are broadcast, about 30 MB; beyond, they are joined by shuffle with salts.
 BROADCAST_BOUNDS = 100_000
 SALTS = 16
+#: Pass 1 states a bound only for groups of which it has so many times n rows at once: smaller ones have little to drop.
+WORTH = 16
 
 
 def _codes(t: pa.Table, columns: Sequence[str]) -> np.ndarray:
@@ -35,44 +38,40 @@ def _codes(t: pa.Table, columns: Sequence[str]) -> np.ndarray:
     return code
 
 
-def _best(t: pa.Table, group: Sequence[str], n: int) -> tuple[pa.Table, pa.Table]:
-    """The n best distinct items of each group of t, and of those the n-th."""
+def _bounds(t: pa.Table, group: Sequence[str], n: int) -> pa.Table:
+    """The row of the n-th best distinct item of each large group of t."""
     code = _codes(t, group)
-    size = np.bincount(code) if len(code) else np.zeros(0, int)
-    few = np.flatnonzero(size[code] < n)
-    many = np.flatnonzero(size[code] >= n)
-    if not len(many):
-        return t, t.slice(0, 0)
-    m = t.take(pa.array(many))
-    item = m["__item"].combine_chunks()
-    words = item.dictionary_encode()
+    size = np.bincount(code)
+    large = np.flatnonzero(size[code] >= WORTH * n)
+    m = t.take(pa.array(large))
+    if not len(large):
+        return m
+    code = code[large]
+    words = m["__item"].combine_chunks().dictionary_encode()
     if isinstance(words, pa.ChunkedArray):
         words = words.combine_chunks()
-    names = pa.compute.rank(words.dictionary, sort_keys="ascending").to_numpy().astype(np.int64)
+    names = pc.rank(words.dictionary, sort_keys="ascending").to_numpy().astype(np.int64)
     rank = names[words.indices.to_numpy()]
-    order = np.lexsort((rank, m["__n2"].to_numpy(), m["__n1"].to_numpy(), code[many]))
-    pair = code[many][order] * (len(names) + 1) + rank[order]
-    _, first = np.unique(pair, return_index=True)  # the best row of each item
+    order = np.lexsort((rank, m["__n2"].to_numpy(), m["__n1"].to_numpy(), code))
+    _, first = np.unique(code[order] * (len(names) + 1) + rank[order], return_index=True)  # the best row of each item
     kept = order[np.sort(first)]
-    owner = code[many][kept]
+    owner = code[kept]
     place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    top = m.take(pa.array(kept[place < n]))
-    return pa.concat_tables([t.take(pa.array(few)), top]), m.take(pa.array(kept[place == n - 1]))
+    return m.take(pa.array(kept[place == n - 1]))
 
 
 def _local_bounds(group: Sequence[str], n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: list[pa.RecordBatch] = []
         rows = 0
         for b in batches:
-            held.append(pa.Table.from_batches([b]))
+            held.append(b)
             rows += b.num_rows
-            if rows > CHUNK:
-                kept, _ = _best(pa.concat_tables(held), group, n)
-                held, rows = [kept], min(kept.num_rows, CHUNK // 2)
-        if held:
-            _, bounds = _best(pa.concat_tables(held), group, n)
-            yield from bounds.to_batches()
+            if rows >= CHUNK:
+                yield from _bounds(pa.Table.from_batches(held), group, n).to_batches()
+                held, rows = [], 0
+        if rows:
+            yield from _bounds(pa.Table.from_batches(held), group, n).to_batches()
 
     return run
 
