@@ -22,10 +22,16 @@ from sparline.session import cut
 
 #: Terms whose frequency is known when terms are put in order, about 8 MB; all others are rarer than these.
 KNOWN_TERMS = 500_000
+#: Fixed value: an odd number that tells the salted lists of a term apart.
+SALT_STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Postings of one side in an inverted list that a single task joins; longer lists are salted.
 LIST_ROWS = 2_000
-#: Parts into which the rows of one record are pre-aggregated.
-PARTS = 16
+#: Rows of one record that a single task gathers; a record with more is reduced in parts first.
+RECORD_ROWS = 1_000
+#: Parts into which the rows of such a record go.
+PARTS = 64
+#: Keys that are broadcast, about 10 MB; with more, the join goes by shuffle.
+BROADCAST_KEYS = 300_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -34,19 +40,30 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
 
 
-def term_sets(rows: DataFrame, record: str, terms: str, part: Column) -> DataFrame:
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_KEYS else df
+
+
+def term_sets(rows: DataFrame, record: str, terms: str) -> DataFrame:
     """One sorted array of distinct terms per record from many rows with arrays of terms.
 
-    A record with very many rows is reduced in ``PARTS`` parts before these come together.
+    Records with very many rows are reduced in ``PARTS`` parts before these come together.
     """
-    salted = rows.select(record, F.pmod(part, F.lit(PARTS)).cast("int").alias("__part"), terms)
-    grouped = salted.repartition(record, "__part").select(record, "__part", F.explode(terms).alias("__t"))
-    partial = grouped.distinct().groupBy(record, "__part").agg(F.collect_list("__t").alias("__ts"))
-    whole = partial.groupBy(record).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__ts")))).alias(terms))
-    return whole
+    many = cut(rows.groupBy(record).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > RECORD_ROWS).select(record))
+    n_many = many.count()
+    union = F.array_sort(F.array_distinct(F.flatten(F.collect_list(terms)))).alias(terms)
+    if not n_many:
+        return rows.groupBy(record).agg(union)
+    few = rows.join(_small(many, n_many), record, "left_anti")
+    hot = rows.join(_small(many, n_many), record, "left_semi").withColumn("__part", F.pmod(F.xxhash64(terms), F.lit(PARTS)))
+    each = hot.repartition(record, "__part").select(record, "__part", F.explode(terms).alias("__t")).distinct()
+    parts = each.groupBy(record, "__part").agg(F.collect_list("__t").alias(terms))
+    return few.groupBy(record).agg(union).unionAll(parts.groupBy(record).agg(union))
+
 
+def _poster(known: np.ndarray, counts: np.ndarray, threshold: float, train: bool):
+    """Postings of one side: training sets take one of the salted lists of a term, the others all of them."""
 
-def _poster(known: np.ndarray, counts: np.ndarray, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             terms = b.column("terms")
@@ -61,29 +78,18 @@ def _poster(known: np.ndarray, counts: np.ndarray, threshold: float):
             order = np.lexsort((flat, freq, owner))
             flat, freq, n = flat[order], freq[order], size[owner]
             place = np.arange(len(flat)) - (np.cumsum(size) - size)[owner]
-            weight = 1 / np.sqrt(n)
-            residual = np.sqrt((n - place - 1) / n)
             posted = np.flatnonzero(np.sqrt((n - place) / n) >= threshold)
             salts = np.maximum(1, -(-freq[posted] // LIST_ROWS))
             class_id = b.column("class_id").to_numpy()[owner[posted]]
-            train, held = (b.column(c).to_numpy(zero_copy_only=False)[owner[posted]] for c in ("has_train", "has_eval"))
-            # Training postings take one salt, those of the other side all of them.
-            a = np.flatnonzero(train)
-            e = np.repeat(np.flatnonzero(held), salts[held])
-            nth = np.arange(len(e)) - np.repeat(np.cumsum(salts[held]) - salts[held], salts[held])
-            one = (class_id[a].view(np.uint64) % salts[a].astype(np.uint64)).astype(np.int64)
-            both = np.concatenate([a, e])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(flat[posted][both]),
-                    pa.array(np.concatenate([one, nth]).astype(np.int32)),
-                    pa.array(np.repeat([True, False], [len(a), len(e)])),
-                    pa.array(class_id[both]),
-                    pa.array(weight[posted][both]),
-                    pa.array(residual[posted][both]),
-                ],
-                ["term", "salt", "train", "class_id", "weight", "residual"],
-            )
+            if train:
+                at = np.arange(len(posted))
+                salt = class_id.view(np.uint64) % salts.astype(np.uint64)
+            else:
+                at = np.repeat(np.arange(len(posted)), salts)
+                salt = (np.arange(len(at)) - np.repeat(np.cumsum(salts) - salts, salts)).astype(np.uint64)
+            terms_ = flat[posted][at].view(np.uint64) ^ (salt * SALT_STEP)
+            columns = [terms_.view(np.int64), class_id[at], n[posted][at].astype(np.int32), place[posted][at].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["list", "class_id", "n", "place"])
 
     return run
 
@@ -100,25 +106,36 @@ def cosine_candidates(classes: DataFrame, threshold: float) -> DataFrame:
     frequent = occurrences.where(F.col("count") > least).toArrow()
     order = np.argsort(frequent["term"].to_numpy())
     known, counts = frequent["term"].to_numpy()[order], frequent["count"].to_numpy()[order]
-    schema = "term bigint, salt int, train boolean, class_id bigint, weight double, residual double"
-    postings = classes.select("class_id", "terms", "has_train", "has_eval").mapInArrow(_poster(known, counts, threshold), schema)
-
-    side = lambda train, p: postings.where(F.col("train") == train).select("term", "salt", *(F.col(c).alias(f"{p}_{c}") for c in ("class_id", "weight", "residual")))
-    lists = side(True, "t").join(side(False, "e"), ["term", "salt"])
-    # All weights of a vector are equal, so its largest weight times the other's sum of weights is their ratio.
-    largest = F.least(F.col("t_weight") / F.col("e_weight"), F.col("e_weight") / F.col("t_weight"))
-    rest = F.col("t_weight") * F.col("e_weight") + F.col("t_residual") * F.col("e_residual")
-    kept = lists.where((F.col("t_class_id") != F.col("e_class_id")) & (largest >= threshold) & (rest >= threshold))
+    schema = "list bigint, class_id bigint, n int, place int"
+
+    def side(train: bool, prefix: str) -> DataFrame:
+        own = classes.where("has_train" if train else "has_eval").select("class_id", "terms")
+        return own.mapInArrow(_poster(known, counts, threshold, train), schema).select("list", *(F.col(c).alias(f"{prefix}_{c}") for c in ("class_id", "n", "place")))
+
+    lists = side(True, "t").join(side(False, "e"), "list")
+    t, e = F.col("t_n").cast("double"), F.col("e_n").cast("double")
+    weights = 1 / F.sqrt(t * e)  # of a shared term in both vectors
+    # Largest weight of one vector times the sum of the other's: before any shared term, and for the rest after this one.
+    largest = F.least(t, e) * weights
+    t_rest, e_rest = t - F.col("t_place") - 1, e - F.col("e_place") - 1
+    residual = weights + F.sqrt(t_rest / t) * F.sqrt(e_rest / e)
+    remaining = weights * (1 + F.least(t_rest, e_rest))
+    kept = lists.where(
+        (F.col("t_class_id") != F.col("e_class_id")) & (largest >= threshold) & (residual >= threshold) & (remaining >= threshold)
+    )
     return kept.select(F.col("t_class_id").alias("train_class"), F.col("e_class_id").alias("eval_class")).distinct()
 
 
 def near_classes(classes: DataFrame, jaccard: float) -> DataFrame:
     """Pairs (train_class, eval_class) whose term sets have at least this Jaccard similarity, equal classes included."""
     threshold = 2 * jaccard / (1 + jaccard) - 1e-9
-    pairs = cosine_candidates(classes, threshold)
+    pairs = cut(cosine_candidates(classes, threshold))
+    n_pairs = pairs.count()
     sets = classes.select("class_id", "terms")
     t, e = (sets.select(F.col("class_id").alias(c), F.col("terms").alias(n)) for c, n in (("train_class", "__t"), ("eval_class", "__e")))
-    met = pairs.join(t, "train_class").join(e, "eval_class")
+    # The pairs pick the few sets that are needed before these are brought together.
+    both = ["train_class", "eval_class"]
+    met = t.join(_small(pairs, n_pairs), "train_class").join(e.join(_small(pairs, n_pairs), "eval_class"), both)
     common = F.size(F.array_intersect("__t", "__e"))
     dot = F.col("__c") / F.sqrt(F.size("__t").cast("double") * F.size("__e"))
     union = F.size("__t") + F.size("__e") - F.col("__c")
@@ -135,12 +152,10 @@ def split_overlap(members: DataFrame, rows: DataFrame, jaccard: float) -> tuple[
     class_id; classes: class_id, terms, has_train, has_eval; pairs: train_class, eval_class,
     those of a class with itself included. Records with no term at all are in no class.
     """
-    sets = term_sets(rows.join(members.select("record"), "record", "left_semi"), "record", "terms", F.xxhash64("terms"))
+    sets = term_sets(rows.join(members.select("record"), "record", "left_semi"), "record", "terms")
     sets = sets.where(F.size("terms") > 0).withColumn("class_id", F.xxhash64("terms"))
     records = cut(sets.join(members, "record"))
-    classes = cut(
-        records.groupBy("class_id").agg(
-            F.any_value("terms").alias("terms"), F.bool_or("is_train").alias("has_train"), F.bool_or("is_eval").alias("has_eval")
-        )
-    )
+    first = F.min("record").alias("record")
+    heads = cut(records.groupBy("class_id").agg(first, F.bool_or("is_train").alias("has_train"), F.bool_or("is_eval").alias("has_eval")))
+    classes = records.select("class_id", "record", "terms").join(_small(heads, heads.count()), ["class_id", "record"]).drop("record")
     return records.drop("terms"), classes, cut(near_classes(classes, jaccard))
