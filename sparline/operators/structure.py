@@ -87,12 +87,12 @@ def token_owners(toks: DataFrame, regions: DataFrame, ident: str = "commit_id")
     t = toks.select(ident, F.col("start").alias("__a"), F.col("end").alias("__b"), "token_index", F.lit(1).alias("__kind"), F.lit(None).cast("string").alias("line_id"), F.lit(None).cast("bigint").alias("__e"))
     s = regions.select(ident, F.col("char_start").cast("bigint").alias("__a"), F.col("char_end").cast("bigint").alias("__b"), F.lit(None).cast("int").alias("token_index"), F.lit(0).alias("__kind"), "line_id", F.col("char_end").cast("bigint").alias("__e"))
     both = t.withColumns({"__a": F.col("__a").cast("bigint"), "__b": F.col("__b").cast("bigint")}).unionByName(s).where("__b > __a")
-    key = F.when(F.col("__kind") == 0, F.struct(F.col("__a"), F.lit(1))).otherwise(F.struct(F.col("__b"), F.lit(0)))
+    key = F.when(F.col("__kind") == 0, F.struct(F.col("__a").alias("x"), F.lit(1).alias("y"))).otherwise(F.struct(F.col("__b").alias("x"), F.lit(0).alias("y")))
     w = Window.partitionBy(ident).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("__kind") == 0, F.struct("__a", "__e", "line_id")), True).over(w)
     ends = F.count(F.when(F.col("__kind") == 0, F.lit(1))).over(w)  # spans that start before the token ends
     rows = both.withColumns({"__s": last, "__started": ends})
-    done = Window.partitionBy(ident).orderBy(F.when(F.col("__kind") == 0, F.struct(F.col("__e"), F.lit(0))).otherwise(F.struct(F.col("__a"), F.lit(1)))).rowsBetween(Window.unboundedPreceding, 0)
+    done = Window.partitionBy(ident).orderBy(F.when(F.col("__kind") == 0, F.struct(F.col("__e").alias("x"), F.lit(0).alias("y"))).otherwise(F.struct(F.col("__a").alias("x"), F.lit(1).alias("y")))).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__ended", F.count(F.when(F.col("__kind") == 0, F.lit(1))).over(done)).where("__kind = 1")
     n = F.col("__started") - F.col("__ended")
     mapping = F.when(n == 0, "UNMAPPED").when(n == 1, "MAPPED").otherwise("ERROR")
