@@ -147,14 +147,14 @@ def near_classes(classes: DataFrame, jaccard: float) -> DataFrame:
 def split_overlap(members: DataFrame, rows: DataFrame, jaccard: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Near-same records between splits: (records, classes, pairs of classes).
 
-    members: record string, is_train, is_eval boolean, a row per record; rows: record,
+    members: record string, is_train, is_eval boolean, a row per record (other columns are kept); rows: record,
     terms array<bigint>, any number of rows per record. records: record, is_train, is_eval,
     class_id; classes: class_id, terms, has_train, has_eval; pairs: train_class, eval_class,
     those of a class with itself included. Records with no term at all are in no class.
     """
     sets = term_sets(rows.join(members.select("record"), "record", "left_semi"), "record", "terms")
     sets = sets.where(F.size("terms") > 0).withColumn("class_id", F.xxhash64("terms"))
-    records = cut(sets.join(members, "record"))
+    records = cut(sets.join(members.drop("class_id", "terms"), "record"))
     first = F.min("record").alias("record")
     heads = cut(records.groupBy("class_id").agg(first, F.bool_or("is_train").alias("has_train"), F.bool_or("is_eval").alias("has_eval")))
     classes = records.select("class_id", "record", "terms").join(_small(heads, heads.count()), ["class_id", "record"]).drop("record")

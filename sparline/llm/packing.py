@@ -70,17 +70,26 @@ class _Stock:
             yield x
             rest ^= 1 << x
 
-    def complement(self, seed: int, gap: int) -> Counter | None:
-        """One, two or three available lengths that, with ``seed``, fill ``gap`` exactly."""
-        if self.bits >> gap & 1 and self.enough(c := Counter((seed, gap))):
+    def largest(self, most: int) -> int:
+        """The largest available length up to ``most``, 0 if there is none."""
+        return (self.bits & ((1 << (most + 1)) - 1)).bit_length() - 1 if most > 0 and self.bits & ((1 << (most + 1)) - 1) else 0
+
+    def complement(self, held: Counter, gap: int) -> Counter | None:
+        """``held`` with one, two or three available lengths that fill ``gap`` exactly."""
+
+        def usable(*more: int) -> Counter | None:
+            c = held + Counter(more)
+            return c if self.enough(c) else None
+
+        if self.bits >> gap & 1 and (c := usable(gap)):
             return c
         if self.pairs >> gap & 1:
-            for a in self._down(min(gap - 1, seed)):
+            for a in self._down(gap - 1):
                 if 2 * a < gap:
                     break
-                if self.bits >> (gap - a) & 1 and self.enough(c := Counter((seed, a, gap - a))):
+                if self.bits >> (gap - a) & 1 and (c := usable(a, gap - a)):
                     return c
-        for a in self._down(min(gap - 2, seed)):
+        for a in self._down(gap - 2):
             rest = gap - a
             if 3 * a < gap:
                 break
@@ -88,7 +97,7 @@ class _Stock:
                 for b in self._down(min(rest - 1, a)):
                     if 2 * b < rest:
                         break
-                    if self.bits >> (rest - b) & 1 and self.enough(c := Counter((seed, a, b, rest - b))):
+                    if self.bits >> (rest - b) & 1 and (c := usable(a, b, rest - b)):
                         return c
         return None
 
@@ -96,50 +105,32 @@ class _Stock:
 def plan_containers(counts: dict[int, int], capacity: int) -> list[Pattern]:
     """Patterns that place every item of the counts, lengths 1 to capacity.
 
-    Exact complements first, from the longest item down: every step uses up at least one
-    length as far as it goes. What no combination of up to four fills exactly goes best
-    fit, longest first, into the open container with the least room that suffices.
+    A pattern begins with the longest item left. Its gap is filled by an exact complement
+    of up to three items, found from the index of available lengths and sums; if there is
+    none, the best fitting item goes in and the gap that remains is tried again, until it
+    is filled or no item left fits. The pattern is used as often as the counts allow, which
+    uses up at least one length as far as it goes, so there are not many more patterns
+    than lengths, however many items there are.
     """
     stock = _Stock({x: k for x, k in counts.items() if x > 0 and k > 0})
     patterns: list[Pattern] = []
-    for length in sorted(stock.counts, reverse=True):
-        while stock.counts[length]:
-            if length == capacity:
-                found: Counter | None = Counter((length,))
-            else:
-                found = stock.complement(length, capacity - length)
-            if found is None:
+    while length := stock.largest(capacity):
+        held, gap = Counter((length,)), capacity - length
+        while gap:
+            if found := stock.complement(held, gap):
+                held, gap = found, 0
                 break
-            times = stock.enough(found)
-            stock.take(found, times)
-            patterns.append(Pattern(found, times))
-
-    gaps: dict[int, list[Pattern]] = {}
-    bits = 0
-    for length in sorted((x for x, k in stock.counts.items() if k), reverse=True):
-        left = stock.counts[length]
-        while left:
-            fitting = bits >> length
-            if fitting:
-                gap = length + (fitting & -fitting).bit_length() - 1
-                group = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap]
-                    bits &= ~(1 << gap)
-                each = min(gap // length, left)
-            else:
-                gap, each = capacity, min(capacity // length, left)
-                group = Pattern(Counter(), left // each)
-            times = min(group.times, left // each)
-            if group.times > times:
-                gaps.setdefault(gap, []).append(Pattern(group.lengths, group.times - times))
-                bits |= 1 << gap
-            room = gap - each * length
-            gaps.setdefault(room, []).append(Pattern(group.lengths + Counter({length: each}), times))
-            if room:
-                bits |= 1 << room
-            left -= each * times
-    return patterns + [p for groups in gaps.values() for p in groups]
+            fit = gap
+            while (fit := stock.largest(fit)) and not stock.enough(held + Counter((fit,))):
+                fit -= 1
+            if not fit:
+                break
+            held[fit] += 1
+            gap -= fit
+        times = stock.enough(held)
+        stock.take(held, times)
+        patterns.append(Pattern(held, times))
+    return patterns
 
 
 def _rank_intervals(patterns: list[Pattern]) -> np.ndarray:

@@ -57,8 +57,9 @@ _LEET = str.maketrans("0134@5$7", "oleaasst")
 SEGMENT = 240
 #: Characters of a block, before its end is moved to that of a segment.
 BLOCK = 800
-#: A block is redundant if it compresses to less than this part of the usual.
+#: A block is redundant if it compresses to less than this part of the usual, or than this of itself, as no prose does.
 REDUNDANT = 0.85
+EXTREME = 0.2
 #: The part of a text's characters above which it is spam.
 SPAM_SHARE = 0.5
 #: Blocks that a language needs for a usual ratio of its own.
@@ -109,11 +110,9 @@ def form(segment: str) -> int:
         return LINKS
     if _MACHINE.search(rest):
         return SENTENCE if len(words) >= 5 and function * 4 >= len(words) else MACHINE
-    if _stuffed(words):
-        return STUFFED
-    if len(words) >= 4 and function * 5 >= len(words):
-        return SENTENCE
-    return WORDS
+    if len(words) < 4 or function * 5 < len(words):
+        return WORDS
+    return STUFFED if _stuffed(words) else SENTENCE
 
 
 @dataclass
@@ -191,7 +190,7 @@ def spam(df: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "
     taken as parts of one text). Texts of any length are read whole.
     """
     b = spam_blocks(df, ident, text, lang)
-    bad = F.col("listed") + F.when(F.col("redundancy") < REDUNDANT, F.col("stuffed")).otherwise(0)
+    bad = F.col("listed") + F.when((F.col("redundancy") < REDUNDANT) | (F.col("ratio") < EXTREME), F.col("stuffed")).otherwise(0)
     n = F.sum("n_chars")
     per = b.groupBy(ident).agg(
         n.alias("n_chars"), (F.sum(bad) / n).alias("spam_share"), (F.sum(F.col("redundancy") * F.col("n_chars")) / n).alias("redundancy"),
