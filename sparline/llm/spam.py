@@ -12,6 +12,7 @@ sentences that repeat a phrase over and over in a redundant block.
 
 from __future__ import annotations
 
+import html
 import re
 import zlib
 from collections.abc import Iterator
@@ -47,9 +48,10 @@ _LINK = re.compile(
 )
 #: Identifiers of programs, assignments, calls, keys of records, times, paths, quotes and diffs.
 _MACHINE = re.compile(
-    r"[a-z][A-Z]|\w_\w|\w\(|[={}\\]|\);|\"\w+\":|\d\d:\d\d|\b0x[0-9a-f]|\w/\w+/\w|^\s*(?:[>+@#$%]|//|/\*|\*/|\*\s?@|---|@@|\|\s)|^\s*(?:import|package|return|throw|public|private|static|final|def|class|using|include)\s[^,;]*;$"
+    r"[a-z][A-Z]|\w_\w|\w\(|[={}\\]|\);|\"\w+\":|\d\d:\d\d|\b0x[0-9a-f]|\+-\s|\w:\d+\.\d+\.\d|\w/\w+/\w|^\s*(?:[>+@#$%]|//|/\*|\*/|\*\s?@|---|@@)|^\s*\|.*\|\s*$|^\s*(?:import|package|return|throw|public|private|static|final|def|class|using|include)\s[^,;]*;$"
 )
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+")
+_SEPARATOR = re.compile(r"[;|•·*]|,\s|\s[/-]\s|\s{2,}")
 _WORD = re.compile(r"[^\W\d_]+")
 _LEET = str.maketrans("0134@5$7", "oleaasst")
 
@@ -68,8 +70,8 @@ MACHINE, SENTENCE, LINKS, WORDS, STUFFED = range(5)
 
 
 def plain(text: str) -> str:
-    """Text without invisible characters, with words that are spelled letter by letter joined."""
-    text = _ZERO_WIDTH.sub("", text)
+    """Text without entities and invisible characters, with words that are spelled letter by letter joined."""
+    text = _ZERO_WIDTH.sub("", html.unescape(text) if "&" in text else text)
     return _SPELLED.sub(lambda m: m.group().replace(" ", ""), text)
 
 
@@ -106,11 +108,14 @@ def form(segment: str) -> int:
     rest = _LINK.sub(" ", segment) if links else segment
     words = _WORD.findall(rest.lower())
     function = sum(w in FUNCTION_WORDS for w in words)
-    if covered and (covered * 2 > len(segment.strip()) or len(words) <= 5 * len(links)) and function * 4 <= len(words):
+    if covered and (covered * 2 > len(segment.strip()) or len(words) <= 5 * len(links)) and function * 2 <= len(words):
         return LINKS
     if _MACHINE.search(rest):
         return SENTENCE if len(words) >= 5 and function * 4 >= len(words) else MACHINE
-    if len(words) < 4 or function * 5 < len(words):
+    # Prose has function words, ends its sentences and sets few separators between its words.
+    ended = segment.rstrip()[-1] in ".!?…:" or len(words) >= 8
+    strung = not ended or 4 * len(_SEPARATOR.findall(segment)) >= len(words)
+    if len(words) < 4 or function * 4 < len(words) or (strung and function * 2 < len(words)):
         return WORDS
     return STUFFED if _stuffed(words) else SENTENCE
 
