@@ -103,7 +103,7 @@ def token_matched_draws(df: DataFrame, unit: Sequence[str], target: str, trials:
     """
     unit = list(unit)
 
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("region_id")
         goal, tokens, ids = int(pdf[target].iloc[0]), pdf["tokens"].to_numpy(), pdf["region_id"].to_numpy()
         rng = np.random.default_rng([salt, *(abs(hash_text(str(k))) for k in key)])

@@ -82,7 +82,7 @@ def align(left: DataFrame, right: DataFrame, unit: Sequence[str]) -> DataFrame:
     per_row = pairs.groupBy(*unit, "left_place").agg(F.sort_array(F.collect_list("right_place")).alias("candidates"))
     rows = a.select(*unit, "left_place").join(per_row, [*unit, "left_place"], "left")
 
-    def assign(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("left_place")
         places = pdf["left_place"].tolist()
         cands = {p: (list(c) if c is not None else []) for p, c in zip(places, pdf["candidates"])}
