@@ -98,7 +98,7 @@ def _slice(lines: list[str], starts: np.ndarray, token_from: int, token_to: int)
 
 
 def _cutter(max_tokens: int, overlap: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__from", "__path", "hunk_ordinal", "__seq"], kind="stable")
         before = pdf[pdf["__back"]]
         own = pdf[~pdf["__back"]]
