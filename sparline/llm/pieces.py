@@ -24,6 +24,8 @@ PENALTY = {"file": 0.0, "hunk": 1.0, "line": 3.0, "inside": 100.0}
 IMBALANCE = 4.0
 #: A commit is handled in stretches of so many pieces, each cut optimally in one task.
 STRETCH_PIECES = 64
+#: So many oversized commits at most are broadcast, about 10 MB; beyond, they are joined by shuffle.
+BROADCAST_COMMITS = 100_000
 
 _TOKEN = re.compile(TOKEN_PATTERN)
 KINDS = tuple(PENALTY)
@@ -159,7 +161,7 @@ def commit_pieces(hunks: DataFrame, max_tokens: int, overlap: int, stretch_piece
     sizes = named.groupBy(*hunk).agg(F.min_by(size, F.struct("extracted_at", size)).alias("__n"))
     large = cut(sizes.groupBy("commit_id").agg(F.sum("__n").alias("__total")).where(F.col("__total") > max_tokens).select("commit_id"))
 
-    rows = named.join(large, "commit_id")
+    rows = named.join(F.broadcast(large) if large.count() <= BROADCAST_COMMITS else large, "commit_id")
     counts = F.transform("__texts", token_count)
     first = Window.partitionBy(*hunk).orderBy("extracted_at", size, F.xxhash64("__texts"))
     rows = rows.withColumn("__k", F.row_number().over(first)).where("__k = 1").withColumn("__counts", counts)
