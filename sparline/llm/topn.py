@@ -1,7 +1,7 @@
 """The N best items of every group, under partition lower bounds.
 
-Pass 1 finds in every input partition the N-th best distinct item of each group that is
-large there; the best of these over all partitions bounds the group from below, because N
+Pass 1 finds in every input partition the N-th best distinct item of each group that has
+N there; the best of these over all partitions bounds the group from below, because N
 distinct items at least as good exist. Pass 2 joins the bound, drops all rows under it
 where they are read, and ranks what is left.
 """
@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sparline.session import cut
 
@@ -24,8 +25,8 @@ CHUNK = 200_000
 #: So many bounds at most are broadcast, about 30 MB; beyond, they are joined by shuffle with salts.
 BROADCAST_BOUNDS = 100_000
 SALTS = 16
-#: Pass 1 states a bound only for groups of which it has so many times n rows at once: smaller ones have little to drop.
-WORTH = 16
+#: Groups of which pass 1 counts fewer rows are ranked whole: they have little to drop, and their bounds are many.
+LARGE = 1_000
 
 
 def _codes(t: pa.Table, columns: Sequence[str]) -> np.ndarray:
@@ -39,11 +40,11 @@ def _codes(t: pa.Table, columns: Sequence[str]) -> np.ndarray:
 
 
 def _bounds(t: pa.Table, group: Sequence[str], n: int) -> pa.Table:
-    """The row of the n-th best distinct item of each large group of t."""
+    """The row of the n-th best distinct item of each group of t that has so many, with the number of its rows here."""
     code = _codes(t, group)
     size = np.bincount(code)
-    large = np.flatnonzero(size[code] >= WORTH * n)
-    m = t.take(pa.array(large))
+    large = np.flatnonzero(size[code] >= n)
+    m = t.take(pa.array(large)).append_column("__rows", pa.array(size[code[large]], pa.int64()))
     if not len(large):
         return m
     code = code[large]
@@ -107,7 +108,8 @@ def top_n(
 
     narrow = rows.select(*group, "__item", "__n1", "__n2")
     bound = F.min(F.struct("__n1", "__n2", "__item")).alias("__bound")
-    bounds = cut(narrow.mapInArrow(_local_bounds(list(group), n), narrow.schema).groupBy(*group).agg(bound))
+    local = narrow.mapInArrow(_local_bounds(list(group), n), StructType([*narrow.schema.fields, StructField("__rows", LongType())]))
+    bounds = cut(local.groupBy(*group).agg(bound, F.sum("__rows").alias("__rows")).where(F.col("__rows") >= LARGE).drop("__rows"))
     renamed = bounds.withColumnsRenamed({g: f"__b_{g}" for g in group})
     n_bounds = bounds.count()
     if n_bounds <= broadcast_bounds:

@@ -32,9 +32,9 @@ def run(df, n, **more):
     return sorted((str((x["g"], x["m"])), x["place"], x["item"], x["id"]) for x in got)
 
 
-@pytest.mark.parametrize("broadcast, worth, chunk", [(100_000, 16, 200_000), (0, 1, 37), (100_000, 1, 100)])
-def test_against_brute_force(spark, monkeypatch, broadcast, worth, chunk):
-    monkeypatch.setattr(topn, "WORTH", worth)
+@pytest.mark.parametrize("broadcast, large, chunk", [(100_000, 1_000, 200_000), (0, 1, 37), (100_000, 1, 100)])
+def test_against_brute_force(spark, monkeypatch, broadcast, large, chunk):
+    monkeypatch.setattr(topn, "LARGE", large)
     monkeypatch.setattr(topn, "CHUNK", chunk)
     rng = random.Random(7)
     rows = []
