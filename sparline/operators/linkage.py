@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparline.functions.lines import signatures, text_variants
@@ -137,3 +137,28 @@ def merge_sources(df: DataFrame, key: str, claim: str, priority: str, order: str
     taken = F.col(claim).isNotNull() & (F.row_number().over(w) > 1)
     state = F.when(F.col(claim).isNull(), "UNRESOLVED").when(taken, "AMBIGUOUS").otherwise("RESOLVED")
     return first.withColumn("__taken", taken).withColumns({"state": state, claim: F.when(~F.col("__taken"), F.col(claim))}).drop("__taken")
+
+
+def resolve_paths(left: DataFrame, right: DataFrame, unit: Sequence[str], left_path: str, right_path: str) -> DataFrame:
+    """Adds resolved, a path of the unit on the right side, and how: EXACT, NORMALIZED, SUFFIX or MISSING.
+
+    Suffixes are exploded at their slashes and joined by equality, so there is no nested
+    loop; of several suffix matches the smallest path wins.
+    """
+    clean = lambda c: F.regexp_replace(F.replace(F.col(c), F.lit("\\"), F.lit("/")), r"^(?:\./)+", "")
+
+    def tails(c: Column) -> Column:
+        parts = F.split(c, "/")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+    a = left.select(*unit, F.col(left_path).alias("__l")).where(F.col("__l").isNotNull()).distinct().withColumn("__c", clean("__l"))
+    b = right.select(*unit, F.col(right_path).alias("__r")).where(F.col("__r").isNotNull()).distinct().withColumn("__d", clean("__r"))
+    whole = a.join(b.withColumnRenamed("__d", "__c"), [*unit, "__c"])
+    long = a.join(b.withColumn("__c", F.explode(tails(F.col("__d")))), [*unit, "__c"]).select(*unit, "__l", "__r")
+    short = a.withColumn("__c", F.explode(tails(F.col("__c")))).join(b.withColumnRenamed("__d", "__c"), [*unit, "__c"]).select(*unit, "__l", "__r")
+    grade = F.when(F.col("__l") == F.col("__r"), 0).otherwise(1)
+    found = whole.select(*unit, "__l", "__r", grade.alias("__g")).unionAll(long.unionAll(short).withColumn("__g", F.lit(2)))
+    best = found.groupBy(*unit, "__l").agg(F.min(F.struct("__g", "__r")).alias("__b"))
+    kind = F.when(F.col("__b.__g") == 0, "EXACT").when(F.col("__b.__g") == 1, "NORMALIZED").when(F.col("__b.__g") == 2, "SUFFIX").otherwise("MISSING")
+    out = left.join(best.withColumnRenamed("__l", left_path), [*unit, left_path], "left")
+    return out.withColumns({"resolved": F.col("__b.__r"), "resolution": kind}).drop("__b")

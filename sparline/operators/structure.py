@@ -151,3 +151,39 @@ def blank_markers(text: Column, markers: Sequence[str] = tuple(MARKERS.values())
     for m in markers:
         text = F.replace(text, F.lit(m), F.lit(" " * len(m)))
     return text
+
+
+def nested_records(lines: DataFrame) -> DataFrame:
+    """commit_id, files: array of (path, file_ordinal, hunks: array of (hunk_ordinal, lines: array of structs)), all in order.
+
+    Nested from the inside out, so that only a hunk's lines, then a file's hunks, then a
+    commit's files come together.
+    """
+    rest = [c for c in lines.columns if c not in ("commit_id", "path", "file_ordinal", "hunk_ordinal")]
+    order = ["line_ordinal", *(c for c in rest if c != "line_ordinal")]
+    h = lines.groupBy("commit_id", "path", "file_ordinal", "hunk_ordinal").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("lines"))
+    f = h.groupBy("commit_id", "path", "file_ordinal").agg(F.array_sort(F.collect_list(F.struct("hunk_ordinal", "lines"))).alias("hunks"))
+    return f.groupBy("commit_id").agg(F.array_sort(F.collect_list(F.struct("file_ordinal", "path", "hunks"))).alias("files"))
+
+
+def flat_lines(records: DataFrame) -> DataFrame:
+    """The lines of nested records with their file and hunk, the inverse of ``nested_records``."""
+    f = records.select("commit_id", F.inline("files"))
+    h = f.select("commit_id", "path", "file_ordinal", F.inline("hunks"))
+    return h.select("commit_id", "path", "file_ordinal", "hunk_ordinal", F.inline("lines"))
+
+
+def supervised(tokens: Column, label: Column) -> tuple[Column, Column]:
+    """Inputs (tokens and the label) and targets (-100 on all but the label) of one example."""
+    return F.concat(tokens, F.array(label)), F.concat(F.array_repeat(F.lit(-100), F.size(tokens)), F.array(label))
+
+
+def padded(tokens: Column, width: Column, pad: int) -> Column:
+    """Tokens filled up on the right to ``width``."""
+    return F.concat(tokens, F.array_repeat(F.lit(pad), (F.greatest(F.lit(0), width - F.size(tokens))).cast("int")))
+
+
+def warmup_rate(step: Column, warmup: int, total: int) -> Column:
+    """Part of the peak learning rate: up in a line, then down to 0 at ``total``."""
+    down = F.greatest(F.lit(0.0), (F.lit(float(total)) - step) / F.lit(float(max(1, total - warmup))))
+    return F.when(step < warmup, step / F.lit(float(max(1, warmup)))).otherwise(down)

@@ -24,7 +24,7 @@ _ID = r"lower(regexp_replace(commit_id, '^\s+|\s+$', '', 'g'))"
 
 #: DuckDB: one row per line, method and seed with a usable score; repeated deliveries count once.
 SCORES = rf"""scores AS (
-    SELECT {_ID} AS commit_id, method, model_seed AS seed, region_id, max(raw_score) AS score, min(replace(rq1_status, 'RQ1_', '')) AS status,
+    SELECT {_ID} AS commit_id, method, model_seed AS seed, region_id, max(raw_score) AS score, min(regexp_replace(rq1_status, '^RQ1_', '')) AS status,
            nullif(regexp_extract(region_id, 'ord(\d+)$', 1), '')::INT AS position, regexp_extract(region_id, '\|(added|deleted)\|', 1) AS change_type
     FROM attribution_rows WHERE granularity = 'LINE' AND rank_score IS NOT NULL AND NOT isnan(rank_score) GROUP BY ALL)"""
 
@@ -48,7 +48,7 @@ LINES = rf"""{HUNKS}, lines0 AS (
     SELECT commit_id, path, file_ordinal, hunk_ordinal, (generate_subscripts(ls, 1) - 1)::INT AS line_ordinal, unnest(ls) AS l FROM hunks),
     lines AS (SELECT commit_id, path, file_ordinal, hunk_ordinal, line_ordinal, l.change_type AS change_type, l.raw_text AS raw_text,
         l.stable_line_id AS line_id, l.old_lineno AS old_lineno, l.new_lineno AS new_lineno, l.occurrence_index AS occurrence_index,
-        l.ordered_position AS position, replace(l.rq1_status, 'RQ1_', '') AS status,
+        l.ordered_position AS position, regexp_replace(l.rq1_status, '^RQ1_', '') AS status,
         coalesce(len(regexp_extract_all(l.raw_text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]')), 0)::INT AS tokens FROM lines0)"""
 
 
@@ -77,7 +77,7 @@ COMMITS = rf"""commits0 AS (SELECT {_ID} AS commit_id, arg_max(struct_pack(proje
         split := CASE WHEN {_SPLIT} IN ('train', 'training', 'tr', 'trn') THEN 'train' WHEN {_SPLIT} IN ('valid', 'validation', 'val', 'dev') THEN 'valid'
             WHEN {_SPLIT} IN ('test', 'testing', 'tst', 'te') THEN 'test' END,
         tokens := visible_token_count, is_positive := is_positive, message := commit_message, author_date := author_date),
-        struct_pack(a := ingested_at, b := coalesce(visible_token_count, -1), c := coalesce(commit_message, ''))) AS r
+        struct_pack(a := ingested_at, b := coalesce(visible_token_count, -1), c := coalesce(commit_message, ''), d := coalesce(split, ''), e := coalesce(project, ''))) AS r
     FROM commit_meta GROUP BY 1),
     commits AS (SELECT commit_id, r.project AS project, r.split AS split, r.tokens AS tokens, r.is_positive AS is_positive, r.message AS message, r.author_date AS author_date FROM commits0)"""
 
@@ -88,5 +88,5 @@ def commits(spark: SparkSession, directory: str) -> DataFrame:
         project_key(F.col("project")).alias("project"), split_key(F.col("split")).alias("split"), F.col("visible_token_count").alias("tokens"), "is_positive",
         F.col("commit_message").alias("message"), "author_date",
     )
-    order = F.struct("ingested_at", F.coalesce("visible_token_count", F.lit(-1)), F.coalesce("commit_message", F.lit("")))
+    order = F.struct("ingested_at", F.coalesce("visible_token_count", F.lit(-1)), *(F.coalesce(c, F.lit("")) for c in ("commit_message", "split", "project")))
     return rows.groupBy(commit_key(F.col("commit_id")).alias("commit_id")).agg(F.max_by(value, order).alias("r")).select("commit_id", "r.*")
