@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from sparline.functions.ids import seed as seed_of
 from sparline.functions.scores import better_direction
+from sparline.operators.numbering import numbered
 
 
 def collapse_seeds(values: DataFrame, keys: Sequence[str], min_seeds: int = 2) -> DataFrame:
@@ -191,10 +192,10 @@ def bootstrap(df: DataFrame, value: str, cluster: str, repeats: int, salt: str,
     a row per draw, spread over the repeats. Returns estimate, low, high, n_clusters.
     """
     sums = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__c"))
-    numbered = sums.withColumns({"__i": F.row_number().over(Window.orderBy(cluster)) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy())})
-    draws = numbered.select("__i", "__n").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    clusters = numbered(sums, cluster, "__i").withColumnRenamed("n", "__n")
+    draws = clusters.select("__i", "__n").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     draws = draws.select("repeat", (seed_of(F.lit(salt), F.col("repeat").cast("string"), F.col("__i").cast("string"), modulus=None) % F.col("__n")).alias("__i"))
-    means = draws.join(numbered, "__i").groupBy("repeat").agg((F.sum("__s") / F.sum("__c")).alias("__m"))
+    means = draws.join(clusters, "__i").groupBy("repeat").agg((F.sum("__s") / F.sum("__c")).alias("__m"))
     ends = means.agg(F.percentile("__m", F.array(*map(F.lit, percentiles))).alias("__q"))
     whole = sums.agg((F.sum("__s") / F.sum("__c")).alias("estimate"), F.count(F.lit(1)).alias("n_clusters"))
     return whole.crossJoin(ends).select("estimate", F.col("__q")[0].alias("low"), F.col("__q")[1].alias("high"), "n_clusters")

@@ -298,7 +298,7 @@ _BOOT = "('0x' || substr(sha256('BOOT|' || repeat || '|' || i), 1, 8))::BIGINT"
 
 def _bootstrap_sql(cluster: str) -> str:
     return f"""WITH {_RISK}, s AS (SELECT {cluster} AS c, sum(score) AS s, count(*) AS k FROM risk WHERE method = 'gradient' AND {cluster} IS NOT NULL GROUP BY 1),
-    n AS (SELECT *, row_number() OVER (ORDER BY c) - 1 AS i, count(*) OVER () AS n FROM s),
+    n AS (SELECT *, row_number() OVER (ORDER BY substr(sha256(c), 1, 3), c) - 1 AS i, count(*) OVER () AS n FROM s),
     d AS (SELECT repeat, {_BOOT} % n AS i FROM n, range(50) AS g(repeat)), m AS (SELECT repeat, sum(s) / sum(k) AS m FROM d JOIN n USING (i) GROUP BY 1)
     SELECT (SELECT round(sum(s) / sum(k), 7) FROM s) AS estimate, round(quantile_cont(m, 0.025), 7) AS low, round(quantile_cont(m, 0.975), 7) AS high, (SELECT count(*) FROM s) AS n_clusters FROM m"""
 

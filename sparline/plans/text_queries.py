@@ -94,7 +94,24 @@ def b03(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-@CATALOG.query("k01_diff_lines")
+_HEAD = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+_HEAD_PART = "last_value(CASE WHEN h THEN coalesce(nullif(regexp_extract(t, '{}', {}), ''), '1')::INT END IGNORE NULLS) OVER u"
+_DIFF = rf"""WITH l0 AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c]|\x{{85}}') AS ls FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, (generate_subscripts(ls, 1) - 1)::INT AS ordinal, unnest(ls) AS t FROM l0),
+    a AS (SELECT *, regexp_matches(t, '{_HEAD}') AS h, starts_with(t, '+++ ') AND coalesce(starts_with(lag(t) OVER w, '--- '), false) AS n, starts_with(t, '--- ') AND coalesce(starts_with(lead(t) OVER w, '+++ '), false) AS o
+          FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)),
+    b AS (SELECT *, sum(h::INT) OVER u - 1 AS hunk, last_value(CASE WHEN n THEN regexp_extract(t, '^\+\+\+ (?:b/)?([^\t]+)', 1) END IGNORE NULLS) OVER u AS p,
+          last_value(CASE WHEN o THEN regexp_extract(t, '^--- (?:a/)?([^\t]+)', 1) END IGNORE NULLS) OVER u AS q,
+          {_HEAD_PART.format(_HEAD, 1)} AS os, {_HEAD_PART.format(_HEAD, 2)} AS onum, {_HEAD_PART.format(_HEAD, 3)} AS ns, {_HEAD_PART.format(_HEAD, 4)} AS nnum
+          FROM a WINDOW u AS (PARTITION BY doc_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT *, CASE WHEN h OR n OR o THEN 'head' WHEN starts_with(t, '+') THEN 'added' WHEN starts_with(t, '-') THEN 'deleted' WHEN starts_with(t, ' ') THEN 'context' ELSE 'other' END AS kind FROM b WHERE hunk >= 0),
+    d AS (SELECT *, sum((kind IN ('deleted', 'context'))::INT) OVER i AS co, sum((kind IN ('added', 'context'))::INT) OVER i AS cn, sum((kind = 'other')::INT) OVER i AS cx
+          FROM c WINDOW i AS (PARTITION BY doc_id, hunk ORDER BY ordinal ROWS UNBOUNDED PRECEDING))
+    SELECT doc_id, ordinal, CASE WHEN p = '/dev/null' THEN q ELSE p END AS path, hunk::BIGINT AS hunk, kind AS change_type, CASE WHEN kind <> 'added' THEN os + co - 1 END::BIGINT AS old_lineno,
+        CASE WHEN kind <> 'deleted' THEN ns + cn - 1 END::BIGINT AS new_lineno, substr(t, 2) AS raw_text FROM d WHERE kind IN ('added', 'deleted', 'context') AND co <= onum AND cn <= nnum AND cx = 0"""
+
+
+@CATALOG.query("k01_diff_lines", _DIFF)
 def k01(spark: SparkSession, directory: str) -> DataFrame:
     """All lines of all diffs inside the documents."""
     return diffs.parse_diff(table(spark, directory, "documents"), "doc_id", "text")
@@ -198,14 +215,27 @@ def c05(spark: SparkSession, directory: str) -> DataFrame:
     return linkage.align(left, right, ["commit_id"])
 
 
-@CATALOG.query("c07_gap_pairs")
+def _gaps(kind: str, col: str) -> str:
+    return f"""SELECT commit_id, gap, place AS {col}, row_number() OVER (PARTITION BY commit_id, gap ORDER BY place) AS k, count(*) OVER (PARTITION BY commit_id, gap) AS n FROM (
+        SELECT commit_id, place, mark, sum(mark) OVER (PARTITION BY commit_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS gap FROM (
+            SELECT commit_id, {col} AS place, 1 AS mark FROM anchors UNION ALL SELECT commit_id, position, 0 FROM lines l
+            WHERE change_type = '{kind}' AND position IS NOT NULL AND NOT EXISTS (SELECT 1 FROM anchors a WHERE a.commit_id = l.commit_id AND a.{col} = l.position)) u) v WHERE mark = 0"""
+
+
+@CATALOG.query(
+    "c07_gap_pairs",
+    f"""WITH {LINES}, f AS (SELECT commit_id, path, hunk_ordinal, min(position) FILTER (change_type = 'deleted') AS left_place, min(position) FILTER (change_type = 'added') AS right_place FROM lines GROUP BY 1, 2, 3),
+    anchors AS (SELECT commit_id, left_place, right_place FROM f WHERE left_place IS NOT NULL AND right_place IS NOT NULL),
+    x AS ({_gaps("deleted", "left_place")}), y AS ({_gaps("added", "right_place")}) SELECT commit_id, left_place, right_place FROM x JOIN y USING (commit_id, gap, k, n)""",
+)
 def c07(spark: SparkSession, directory: str) -> DataFrame:
-    """Unmatched lines of deleted and added runs paired between lines of equal number in their hunks."""
+    """Deleted and added lines paired between anchors, the first of both kinds in each hunk."""
     rows = lines(spark, directory).where(F.col("position").isNotNull())
-    side = lambda kind: rows.where(F.col("change_type") == kind).select("commit_id", F.col("position").alias("place"), "line_ordinal", "path", "hunk_ordinal")
-    left, right = side("deleted"), side("added")
-    met = left.withColumnRenamed("place", "left_place").join(right.withColumnRenamed("place", "right_place"), ["commit_id", "path", "hunk_ordinal", "line_ordinal"])
-    return linkage.gap_pairs(left.select("commit_id", "place"), right.select("commit_id", "place"), met.select("commit_id", "left_place", "right_place"), ["commit_id"])
+    first = lambda kind: F.min(F.when(F.col("change_type") == kind, F.col("position")))
+    anchors = rows.groupBy("commit_id", "path", "hunk_ordinal").agg(first("deleted").alias("left_place"), first("added").alias("right_place"))
+    anchors = anchors.where("left_place IS NOT NULL AND right_place IS NOT NULL")
+    side = lambda kind: rows.where(F.col("change_type") == kind).select("commit_id", F.col("position").alias("place"))
+    return linkage.gap_pairs(side("deleted"), side("added"), anchors, ["commit_id"])
 
 
 @CATALOG.query(
