@@ -58,29 +58,40 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or math.isnan(x) else math.erfc(abs(x) / math.sqrt(2)))
 
 
+def _ranked_magnitudes(diffs: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Distinct magnitudes __m with their rows __t, those above and below zero, and their average rank __r.
+
+    Rows are counted by magnitude first, so the window runs over distinct magnitudes.
+    """
+    d = F.col(value)
+    per = diffs.where(d.isNotNull()).groupBy(*group, F.abs(d).alias("__m")).agg(
+        F.count(F.lit(1)).alias("__t"), F.count_if(d > 0).alias("__up"), F.count_if(d < 0).alias("__down")
+    )
+    before = F.sum("__t").over(Window.partitionBy(*group).orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__t")
+    return per.withColumn("__r", before + (F.col("__t") + 1) / 2)
+
+
 def signed_rank(diffs: DataFrame, group: Sequence[str] = (), value: str = "diff") -> DataFrame:
     """Wilcoxon's signed-rank test with Pratt's zeros and the normal approximation, per group.
 
     n, n_zero, r_plus, r_minus, statistic, z, p_value and state: OK, or ALL_ZERO with
-    statistic 0 and p 1. Null differences are left out; a group without any is absent.
+    statistic 0 and p 1, or EMPTY with null results for no difference at all, ungrouped.
+    Null differences are left out; a group without any is absent.
     """
     group = list(group)
-    rows = average_rank(diffs.where(F.col(value).isNotNull()), F.abs(value), group, "__r")
-    tied = F.count(F.lit(1)).over(Window.partitionBy(*group, F.abs(value)))
-    d = F.col(value)
-    rows = rows.withColumn("__tie", F.when(d != 0, (tied.cast("double") * tied * tied - tied) / (2 * tied)).otherwise(0.0))
-    out = rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(d == 0).alias("n_zero"), F.sum(F.when(d > 0, F.col("__r")).otherwise(0.0)).alias("r_plus"),
-        F.sum(F.when(d < 0, F.col("__r")).otherwise(0.0)).alias("r_minus"), F.sum("__tie").alias("__ties"),
+    out = _ranked_magnitudes(diffs, group, value).groupBy(*group).agg(
+        F.coalesce(F.sum("__t"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("__m") == 0, F.col("__t"))), F.lit(0)).alias("n_zero"), F.sum(F.col("__r") * F.col("__up")).alias("r_plus"),
+        F.sum(F.col("__r") * F.col("__down")).alias("r_minus"), F.coalesce(F.sum(F.when(F.col("__m") != 0, (F.pow("__t", F.lit(3)) - F.col("__t")) / 2)), F.lit(0.0)).alias("__ties"),
     )
     n, z = F.col("n").cast("double"), F.col("n_zero").cast("double")
     mean = n * (n + 1) / 4 - z * (z + 1) / 4
     variance = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - F.col("__ties")) / 24
-    none = F.col("n") == F.col("n_zero")
+    empty = F.col("n") == 0
+    none = (F.col("n") == F.col("n_zero")) & ~empty
     statistic = F.least("r_plus", "r_minus")
     out = out.withColumns({
         "statistic": F.when(none, 0.0).otherwise(statistic), "z": F.when(~none & (variance > 0), (statistic - mean) / F.sqrt(variance)),
-        "state": F.when(none, "ALL_ZERO").otherwise("OK"),
+        "state": F.when(empty, "EMPTY").when(none, "ALL_ZERO").otherwise("OK"),
     })
     return out.withColumn("p_value", F.when(none, 1.0).otherwise(normal_two_sided("z"))).drop("__ties")
 
@@ -89,10 +100,11 @@ def rank_biserial(diffs: DataFrame, group: Sequence[str] = (), value: str = "dif
     """Matched-pairs effect size: zeros are dropped before ranking; 0 if all are zero."""
     group = list(group)
     known = diffs.where(F.col(value).isNotNull())
-    rows = average_rank(known.withColumn("__zero", (F.col(value) == 0).cast("int")), F.abs(value), [*group, "__zero"], "__r")
-    plus = F.sum(F.when(F.col(value) > 0, F.col("__r")).otherwise(0.0))
-    minus = F.sum(F.when(F.col(value) < 0, F.col("__r")).otherwise(0.0))
-    return rows.groupBy(*group).agg(F.coalesce(F.try_divide(plus - minus, plus + minus), F.lit(0.0)).alias("rank_biserial"))
+    plus, minus = F.sum(F.col("__r") * F.col("__up")), F.sum(F.col("__r") * F.col("__down"))
+    size = _ranked_magnitudes(known.where(F.col(value) != 0), group, value).groupBy(*group).agg(F.try_divide(plus - minus, plus + minus).alias("rank_biserial"))
+    if not group:  # one row even if all are zero
+        return size.withColumn("rank_biserial", F.coalesce("rank_biserial", F.lit(0.0)))
+    return known.select(*group).distinct().join(size, group, "left").withColumn("rank_biserial", F.coalesce("rank_biserial", F.lit(0.0)))
 
 
 def difference_summary(diffs: DataFrame, group: Sequence[str] = (), value: str = "diff") -> DataFrame:

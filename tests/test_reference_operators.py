@@ -58,6 +58,11 @@ def test_signed_rank_against_frozen_values(spark, diffs_, p):
     assert r["state"] == ("ALL_ZERO" if not any(diffs_) else "OK")
 
 
+def test_signed_rank_of_nothing(spark):
+    r = inference.signed_rank(spark.createDataFrame([(None,)], "diff double")).first()
+    assert (r["n"], r["state"], r["p_value"], r["statistic"]) == (0, "EMPTY", None, None)
+
+
 def test_rank_biserial_drops_zeros(spark):
     r = inference.rank_biserial(spark.createDataFrame([(d,) for d in (1.0, 0.0, -0.5, 2.0)], "diff double")).first()
     assert r["rank_biserial"] == pytest.approx((2 + 3 - 1) / 6)
