@@ -129,3 +129,20 @@ def hash_text(text: str) -> int:
     import hashlib
 
     return int(hashlib.sha256(text.encode()).hexdigest()[:8], 16)
+
+
+def phased_sample(df: DataFrame, group: str, n_first: int, later: Column, n: int, key: str, salt: str) -> DataFrame:
+    """n rows in three phases: one of each group, then any up to ``n_first``, then those for which ``later`` is false first.
+
+    Every phase is in hash order. Each is a distributed top-n: of the rows after the
+    leaders, only ``n`` of either kind of ``later`` can be taken. Adds place from 1.
+    """
+    w = Window.partitionBy(group).orderBy(hash_order(F.col(key), F.lit(salt)), key)
+    rows = df.withColumns({"__h": hash_order(F.col(key), F.lit(salt)), "__lead": F.row_number().over(w) == 1, "__later": later})
+    order = [F.desc("__lead"), "__h", key]
+    kinds = [rows.where(F.col("__later") == k).orderBy(*order).limit(n_first + n) for k in (False, True)]
+    few = kinds[0].unionAll(kinds[1])
+    ranked = few.withColumn("__i", F.row_number().over(Window.orderBy(*order)))
+    last = F.col("__i") > n_first
+    turn = [last, F.when(last, F.col("__later")).otherwise(False), "__i"]
+    return ranked.withColumn("place", F.row_number().over(Window.orderBy(*turn))).where(F.col("place") <= n).drop("__h", "__lead", "__later", "__i")

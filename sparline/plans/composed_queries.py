@@ -280,3 +280,19 @@ def m05(spark: SparkSession, directory: str) -> DataFrame:
         "vec_id", F.size(structure.padded(inputs, F.lit(66), 0)).alias("n_padded"), F.size(inputs).alias("n_input"), F.size(F.filter(targets, lambda t: t != -100)).alias("n_supervised"), "label"
     )
 
+
+
+@CATALOG.query(
+    "c12_region_tokens",
+    f"""WITH {_SEGMENTS}, {_TOKENS}, m AS (SELECT t.commit_id, t.token_index, any_value(p.line_id) AS owner FROM tok t JOIN sp p ON p.commit_id = t.commit_id AND p.line_id IS NOT NULL
+        AND t.s < p.char_start + length(p.payload) AND t.e > p.char_start GROUP BY 1, 2 HAVING count(*) = 1), n AS (SELECT owner, count(*) AS n FROM m GROUP BY 1)
+    SELECT l.line_id, coalesce(n.n, 0) AS n_tokens FROM lines l LEFT JOIN n ON n.owner = l.line_id WHERE l.line_id IS NOT NULL""",
+)
+def c12(spark: SparkSession, directory: str) -> DataFrame:
+    """Tokens of every line in the rendered text, 0 for lines without any."""
+    p = parts(spark, directory)
+    toks = structure.tokens(structure.rendered(p), "commit_id", "text")
+    owned = structure.token_owners(toks, structure.spans(p).where(F.col("line_id").isNotNull()))
+    per = owned.where(F.col("owner").isNotNull()).groupBy(F.col("owner").alias("line_id")).agg(F.count(F.lit(1)).alias("n"))
+    grid = lines(spark, directory).where(F.col("line_id").isNotNull()).select("line_id")
+    return grid.join(per, "line_id", "left").select("line_id", F.coalesce("n", F.lit(0)).alias("n_tokens"))

@@ -374,3 +374,44 @@ def j04(spark: SparkSession, directory: str) -> DataFrame:
     rows = lines(spark, directory).where(F.col("line_id").isNotNull() & (F.col("tokens") > 0)).select("commit_id", F.col("line_id").alias("region_id"), "tokens")
     total = rows.groupBy("commit_id").agg(F.ceil(F.sum("tokens") * F.lit(0.2)).alias("target"))
     return cohorts.token_matched_draws(rows.join(total, "commit_id"), ["commit_id"], "target", 64)
+
+
+_PER_SEED = f"""{COMMITS}, {SCORES}, r AS (SELECT s.commit_id, s.method, s.seed, c.is_positive::INT AS y, avg(abs(s.score)) AS score FROM scores s JOIN commits c ON c.commit_id = s.commit_id
+    WHERE c.is_positive IS NOT NULL GROUP BY 1, 2, 3, 4)"""
+
+
+@CATALOG.query("i18_point_biserial_by_seed", f"WITH {_PER_SEED} SELECT method, seed, count(*) AS n, round(corr(score, y), 7) AS r FROM r GROUP BY 1, 2")
+def i18(spark: SparkSession, directory: str) -> DataFrame:
+    c = commits(spark, directory).where(F.col("is_positive").isNotNull()).select("commit_id", F.col("is_positive").cast("int").alias("y"))
+    per = scores(spark, directory).groupBy(*UNIT).agg(F.avg(F.abs("score")).alias("score")).join(c, "commit_id")
+    return inference.point_biserial(per, ["method", "seed"], "score", "y").withColumn("r", F.round("r", 7))
+
+
+_RESIDUALS = f"""{_LENGTHS}, m AS (SELECT *, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy FROM sl WINDOW w AS (PARTITION BY {U})),
+    e AS (SELECT commit_id, method, seed, region_id, round(dx - coalesce(sum(dx * dy) OVER w / nullif(sum(dy * dy) OVER w, 0), 0) * dy, 9) AS res FROM m WINDOW w AS (PARTITION BY {U})),
+    met AS (SELECT a.commit_id, a.method, a.seed AS seed_a, b.seed AS seed_b, a.res AS x, b.res AS y FROM e a JOIN e b USING (commit_id, method, region_id) WHERE a.seed < b.seed),
+    k AS (SELECT *, {_ranks("x", "commit_id, method, seed_a, seed_b", "rx")}, {_ranks("y", "commit_id, method, seed_a, seed_b", "ry")} FROM met),
+    p AS (SELECT commit_id, method, {_CORR.format(n=2)} FROM k GROUP BY commit_id, method, seed_a, seed_b HAVING count(*) >= 2),
+    q AS (SELECT commit_id, method, avg(rho) AS rho FROM p WHERE rho IS NOT NULL GROUP BY 1, 2)"""
+
+
+@CATALOG.query("i14_length_adjusted_stability", f"WITH {_RESIDUALS} SELECT method, count(*) AS n_commits, round(avg(rho), 4) AS mean_rho FROM q GROUP BY 1")
+def i14(spark: SparkSession, directory: str) -> DataFrame:
+    """Agreement of seeds on what length does not explain, over pairs within commits, then over commits."""
+    left = inference.ols_residual(with_tokens(spark, directory), UNIT, "magnitude", "tokens").withColumn("residual", F.round("residual", 9))
+    pairs = inference.seed_pair_stability(left, ["commit_id", "method"], "residual").where(F.col("rho").isNotNull())
+    per = pairs.groupBy("commit_id", "method").agg(F.avg("rho").alias("rho"))
+    return per.groupBy("method").agg(F.count(F.lit(1)).alias("n_commits"), F.round(F.avg("rho"), 4).alias("mean_rho"))
+
+
+@CATALOG.query(
+    "j07_phased_sample",
+    f"""WITH {COMMITS}, h AS (SELECT commit_id, project, is_positive, sha256('20261001|' || commit_id) AS h FROM commits WHERE split = 'train' AND project IS NOT NULL),
+    f AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY h, commit_id) = 1 AS lead FROM h), a AS (SELECT *, row_number() OVER (ORDER BY NOT lead, h, commit_id) AS i FROM f),
+    b AS (SELECT *, row_number() OVER (ORDER BY i > 90, CASE WHEN i > 90 THEN (NOT coalesce(is_positive, false))::INT ELSE 0 END, i) AS place FROM a)
+    SELECT commit_id, place::INT AS place FROM b WHERE place <= 100""",
+)
+def j07(spark: SparkSession, directory: str) -> DataFrame:
+    """One commit of every project, others up to 90, then positives first up to 100, all in hash order."""
+    rows = commits(spark, directory).where("split = 'train' AND project IS NOT NULL").select("commit_id", "project", "is_positive")
+    return cohorts.phased_sample(rows, "project", 90, ~F.coalesce(F.col("is_positive"), F.lit(False)), 100, "commit_id", "20261001").select("commit_id", "place")
