@@ -93,7 +93,8 @@ def mix(
 ) -> Mix:
     """Combine records so that each source of ``targets`` has its share of the tokens.
 
-    targets: source_name, target_share, max_repeats, at most a few thousand rows. The size
+    targets: source_name, target_share, max_repeats, at most a few thousand rows; null is 0
+    in either number, and of several rows of a source the largest numbers count. The size
     of the mix is that of all records whose source is a target. A leaf of the tree is a
     source in a language; its weight is the target of its source in proportion to its
     tokens, its capacity max_repeats times its tokens. Each leaf is used in whole epochs
@@ -105,8 +106,9 @@ def mix(
     target_share, max_repeats, tokens_available, tokens_used, reached_share, can_reach.
     """
     spark = df.sparkSession
-    wanted = {r["source_name"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.select(
-        source_key(F.col("source_name")).alias("source_name"), "target_share", "max_repeats").collect() if r["source_name"]}
+    shares = targets.select(source_key(F.col("source_name")).alias("s"), F.col("target_share").cast("double").alias("t"), F.col("max_repeats").cast("int").alias("r"))
+    shares = shares.where(F.col("s").isNotNull()).groupBy("s").agg(F.max("t").alias("t"), F.max("r").alias("r"))
+    wanted = {r["s"]: (r["t"] or 0.0, r["r"] or 0) for r in shares.collect()}
     names = F.broadcast(spark.createDataFrame([(s,) for s in wanted] or [], "source_name string"))
     sized = df.select(
         F.col(ident).alias("__id"), source_key(F.col(source)).alias("source_name"), language_key(F.col(lang)).alias("lang"), token_count(F.col(text)).alias("n_tokens")

@@ -26,6 +26,8 @@ KNOWN_TERMS = 500_000
 SALT_STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Postings of one side in an inverted list that a single task joins; longer lists are salted.
 LIST_ROWS = 2_000
+#: Salts of a list at most: a term that is this frequent is posted by few sets, those without rarer terms.
+LIST_SALTS = 64
 #: Rows of one record that a single task gathers; a record with more is reduced in parts first.
 RECORD_ROWS = 1_000
 #: Parts into which the rows of such a record go.
@@ -79,7 +81,7 @@ def _poster(known: np.ndarray, counts: np.ndarray, threshold: float, train: bool
             flat, freq, n = flat[order], freq[order], size[owner]
             place = np.arange(len(flat)) - (np.cumsum(size) - size)[owner]
             posted = np.flatnonzero(np.sqrt((n - place) / n) >= threshold)
-            salts = np.maximum(1, -(-freq[posted] // LIST_ROWS))
+            salts = np.clip(-(-freq[posted] // LIST_ROWS), 1, LIST_SALTS)
             class_id = b.column("class_id").to_numpy()[owner[posted]]
             if train:
                 at = np.arange(len(posted))

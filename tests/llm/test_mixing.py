@@ -71,3 +71,10 @@ def test_empty_tables(spark):
     assert [(r["tokens_used"], r["reached_share"], r["can_reach"]) for r in m.report.collect()] == [(0, 0.0, True)]
     m = mix(corpus(spark), targets.limit(0), {})
     assert m.rows.count() == 0 and m.report.count() == 0
+
+
+def test_nulls_and_repeats_among_the_targets(spark):
+    rows = [("big_one", 0.5, 1), ("BIG-ONE", 0.2, None), ("small", None, 3), ("other", 0.5, None), (None, 0.1, 1), (" ", 0.1, 1)]
+    targets = spark.createDataFrame(rows, "source_name string, target_share double, max_repeats int")
+    report = {r["source_name"]: r for r in mix(corpus(spark), targets, {}).report.collect()}
+    assert {s: (r["target_share"], r["max_repeats"]) for s, r in report.items()} == {"big_one": (0.5, 1), "small": (0.0, 3), "other": (0.5, 0)}
