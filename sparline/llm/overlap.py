@@ -32,7 +32,7 @@ LIST_SALTS = 64
 RECORD_ROWS = 1_000
 #: Parts into which the rows of such a record go.
 PARTS = 64
-#: Keys that are broadcast, about 10 MB; with more, the join goes by shuffle.
+#: Keys that are broadcast, about 20 MB; with more, the join goes by shuffle.
 BROADCAST_KEYS = 300_000
 
 
