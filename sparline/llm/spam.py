@@ -50,6 +50,10 @@ _LINK = re.compile(
 _MACHINE = re.compile(
     r"[a-z][A-Z]|\w_\w|\w\(|[={}\\]|\);|\"\w+\":|\d\d:\d\d|\b0x[0-9a-f]|\+-\s|\w:\d+\.\d+\.\d|\w/\w+/\w|^\s*(?:[>+@#$%]|//|/\*|\*/|\*\s?@|---|@@)|^\s*\|.*\|\s*$|^\s*(?:import|package|return|throw|public|private|static|final|def|class|using|include)\s[^,;]*;$"
 )
+#: Runs of tags of products: no colours, no lines of a preprocessor, no members of classes; a piece of a long run may begin inside a tag.
+_TAGS = re.compile(
+    r"(?<![\w#&])(?:#(?!(?:[0-9a-fA-F]{3,8}|include|define|undef|ifn?def|if|el(?:se|if\w*)|endif|error|warning|line|pragma|import|using|(?:end)?region)\b)[^\W\d]\w*)+|^\w+(?:\s*#[^\W\d]\w*){3,}"
+)
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+")
 _SEPARATOR = re.compile(r"[;|•·*]|,\s|\s[/-]\s|\s{2,}")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -101,6 +105,15 @@ def _stuffed(words: list[str]) -> bool:
     return most >= 3 and 2 * most >= 0.2 * len(words)
 
 
+def _tagged(segment: str) -> bool:
+    """Nothing but tags, or two tags or more over half of the segment and no machine text beside them."""
+    tags = _TAGS.findall(segment)
+    rest = _TAGS.sub(" ", segment)
+    if not rest.strip(" \t\r\n,;|#"):
+        return bool(tags)
+    return sum(t.count("#") for t in tags) >= 2 and 2 * sum(map(len, tags)) > len(segment.strip()) and not _MACHINE.search(rest)
+
+
 def form(segment: str) -> int:
     """What a segment is formed like."""
     links = _LINK.findall(segment)
@@ -110,6 +123,8 @@ def form(segment: str) -> int:
     function = sum(w in FUNCTION_WORDS for w in words)
     if covered and (covered * 2 > len(segment.strip()) or len(words) <= 5 * len(links)) and function * 2 <= len(words):
         return LINKS
+    if "#" in rest and _tagged(rest):
+        return WORDS
     if _MACHINE.search(rest):
         return SENTENCE if len(words) >= 5 and function * 4 >= len(words) else MACHINE
     # Prose has function words, ends its sentences and sets few separators between its words.

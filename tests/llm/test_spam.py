@@ -65,3 +65,21 @@ def test_segments_keep_all_text_and_blocks_all_characters():
     assert "".join("".join(segments(text)).split()) == "".join(text.split())
     assert sum(sum(b.chars) for b in blocks(text)) == sum(map(len, segments(plain(text))))
     assert plain("c h e a p s​o​fa") == "cheap sofa"
+
+
+def test_tags_are_spam_and_lines_that_begin_like_tags_are_not(spark):
+    names = ["travel_bag_shipping", "lock_app_shop", "timeoutappAskado", "wrist_watch", "yogamatVelmor", "crédito_rápido", "sofacover", "power_drill_Kirvo"]
+    tags = [f"#{a}" for a in names * 12]
+    bad = {"spaced": " ".join(tags), "joined": "".join(tags), "lines": "\n".join(tags), "mostly": PROSE + "\n" + " ".join(tags), "cut": "zer_wholesale " + " ".join(tags)}
+    good = {
+        "preprocessor": "#include <stdio.h>\n#ifdef HAS_X\n#define readAll(f) f.all()\n#endif\n" * 12,
+        "comments": "\n".join(f"#readAll_{i} is called before the lock is taken" for i in range(30)),
+        "colours": "\n".join("#ffaa00 #00ffaa #abcdef #fff" for _ in range(30)),
+        "members": "\n".join(f"ReaderTest#readAll_{i}" for i in range(60)),
+        "styles": "#mainBox #sideBar { color: red }\n" * 40,
+        "short_tail": PROSE * 4 + " ".join(tags[:6]),
+    }
+    found = {r["doc_id"] for r in spam(frame(spark, [(k, t, "en") for k, t in {**bad, **good}.items()])).collect()}
+    assert found == {*bad}
+    assert form("#travel_bag_shipping#lock_app_shop#timeoutappAskado#") == WORDS
+    assert form("#ifdef HAS_X") == form("# readAll is called") == MACHINE
