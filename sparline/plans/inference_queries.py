@@ -315,6 +315,23 @@ def _bootstrap(cluster: str):
 CATALOG.query("i06_bootstrap_commits", _bootstrap_sql("commit_id"))(_bootstrap("commit_id"))
 CATALOG.query("i09_bootstrap_projects", _bootstrap_sql("project"))(_bootstrap("project"))
 
+#: The reference's number of resamples.
+REPEATS = 10_000
+
+
+def _bootstrap_whole(cluster: str):
+    """Every method with all resamples; the two queries above hold hashed draws against SQL on 50 of one method."""
+
+    def run(spark: SparkSession, directory: str) -> DataFrame:
+        out = inference.grouped_bootstrap(risk(spark, directory), ["method"], "score", cluster, REPEATS, "BOOT")
+        return out.withColumns({c: F.round(c, 7) for c in ("estimate", "low", "high")})
+
+    return run
+
+
+CATALOG.query("i06_bootstrap_commits_whole")(_bootstrap_whole("commit_id"))
+CATALOG.query("i09_bootstrap_projects_whole")(_bootstrap_whole("project"))
+
 
 # Cohorts.
 def members(spark: SparkSession, directory: str) -> DataFrame:

@@ -259,3 +259,28 @@ def test_every_query_has_its_own_name_and_oracles_have_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_bootstrap_of_every_group_is_numpys(spark):
+    rows = [("a", f"c{i % 7}", float(i)) for i in range(30)] + [("b", f"c{i}", float(i * i)) for i in range(12)] + [("b", None, 5.0), ("b", "c1", None)]
+    df = spark.createDataFrame(rows, "method string, c string, v double")
+    runs_ = [{r["method"]: r for r in inference.grouped_bootstrap(df.repartition(k), ["method"], "v", "c", 10_000, "S", together=t).collect()} for k, t in ((1, 500), (3, 5000))]
+    assert runs_[0] == runs_[1] and set(runs_[0]) == {"a", "b"}
+    rng = np.random.default_rng(5)
+    for m, r in runs_[0].items():
+        per = {}
+        for x, c, v in rows:
+            if x == m and c is not None and v is not None:
+                per.setdefault(c, []).append(v)
+        s, n = np.array([sum(v) for v in per.values()]), np.array([len(v) for v in per.values()])
+        at = rng.integers(0, len(s), (200_000, len(s)))
+        low, high = np.percentile(s[at].sum(1) / n[at].sum(1), [2.5, 97.5])
+        assert r["repeats"] == 10_000 and r["n_clusters"] == len(s) and r["estimate"] == pytest.approx(s.sum() / n.sum())
+        # Ends of 10,000 draws are within a few hundredths of the width; those of 50 are not.
+        assert abs(r["low"] - low) < 0.04 * (high - low) and abs(r["high"] - high) < 0.04 * (high - low)
+
+
+def test_whole_bootstraps_draw_what_the_reference_draws():
+    from sparline.plans import inference_queries as q
+
+    assert q.REPEATS == 10_000 and {"i06_bootstrap_commits_whole", "i09_bootstrap_projects_whole"} <= set(q.CATALOG.queries)
