@@ -338,10 +338,14 @@ def members(spark: SparkSession, directory: str) -> DataFrame:
     return commits(spark, directory).where(F.col("tokens").isNotNull())
 
 
+#: The reference's number of matched positives.
+MATCHED = 475
+
+
 @CATALOG.query("c18_matched_negatives")
 def c18(spark: SparkSession, directory: str) -> DataFrame:
     m = members(spark, directory).where("split = 'test' AND project IS NOT NULL")
-    return cohorts.matched_negatives(m.where("is_positive"), m.where("NOT is_positive"), 40)
+    return cohorts.matched_negatives(m.where("is_positive"), m.where("NOT is_positive"), MATCHED)
 
 
 @CATALOG.query(

@@ -284,3 +284,30 @@ def test_whole_bootstraps_draw_what_the_reference_draws():
     from sparline.plans import inference_queries as q
 
     assert q.REPEATS == 10_000 and {"i06_bootstrap_commits_whole", "i09_bootstrap_projects_whole"} <= set(q.CATALOG.queries)
+
+
+@pytest.fixture(scope="session")
+def cohort_tables(tmp_path_factory, spark):
+    """commit_meta alone: 500 positives and 700 negatives of the test split, in six projects."""
+    import datetime as dt
+
+    to = tmp_path_factory.mktemp("cohort")
+    at = dt.datetime(2026, 1, 1)
+    rows = [(f"{'a' if i < 500 else 'b'}{i:04d}", f"p{i % 6}", "test", (i * 37) % 400 + 1, i < 500, "m", at, at) for i in range(1200)]
+    schema = "commit_id string, project string, split string, visible_token_count int, is_positive boolean, commit_message string, author_date timestamp, ingested_at timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(str(to / "commit_meta.parquet"))
+    return str(to), rows
+
+
+def test_matched_negatives_query_takes_475_positives(spark, cohort_tables):
+    from sparline.plans.inference_queries import c18
+
+    directory, rows = cohort_tables
+    used, want = set(), {}
+    pool = [r for r in rows if not r[4]]
+    for r in [r for r in rows if r[4]][:475]:
+        free = [x for x in pool if x[0] not in used]
+        best = min([x for x in free if x[1] == r[1]] or free, key=lambda x: (abs(x[3] - r[3]), x[0]))
+        used.add(best[0])
+        want[r[0]] = best[0]
+    assert {r["commit_id"]: r["matched_id"] for r in c18(spark, directory).collect()} == want
