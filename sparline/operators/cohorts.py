@@ -5,6 +5,7 @@ members: commit_id, project, tokens, split, is_positive.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
@@ -95,6 +96,44 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, key: str, sa
     return hashed_sample_per_group(df.join(quota, list(strata)), strata, F.col("quota"), key, salt)
 
 
+def covering_sample(df: DataFrame, label: str, project: str, n: int, key: str, salt: str) -> DataFrame:
+    """n rows with the labels (boolean) in proportion, in hash order, changed to cover the projects: key, label, project.
+
+    For every project without a row in the sample, by name, its row with the smallest key
+    takes the place of the first sampled row (true labels first, in hash order) of the same
+    label whose project has several rows, if there is one. Rows with a null label are left
+    out; null is no project to be covered. Fewer than n rows are taken whole. The driver holds n rows and as
+    many that may be swapped in of either label: each sampled row is replaced once at most.
+    """
+    known = df.where(F.col(label).isNotNull()).select(key, label, project)
+    size = {r[label]: r["n"] for r in known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    pos, neg = size.get(True, 0), size.get(False, 0)
+    if pos + neg <= n:
+        return known
+    n_pos = max(1, min(round(n * pos / (pos + neg)), pos, n - 1)) if pos else 0
+    n_pos = max(n_pos, n - neg)
+    order = [hash_order(F.col(key), F.lit(salt)), F.col(key)]
+    out = [tuple(r) for value, k in ((True, n_pos), (False, n - n_pos)) for r in known.where(F.col(label) == value).orderBy(*order).limit(k).collect()]
+    have = Counter(r[2] for r in out)
+    spark = df.sparkSession
+    seen = F.broadcast(spark.createDataFrame([(p,) for p in have if p is not None], f"{project} string"))  # n projects at most
+    missing = known.where(F.col(project).isNotNull()).join(seen, project, "left_anti").groupBy(project).agg(F.min_by(F.struct(key, label), key).alias("__r"))
+    missing = missing.select("__r.*", project)
+    swaps = [tuple(r) for value, k in ((True, n_pos), (False, n - n_pos)) for r in missing.where(F.col(label) == value).orderBy(project).limit(k).collect()]
+    at = {True: 0, False: n_pos}
+    for row in sorted(swaps, key=lambda r: r[2].encode()):
+        i, end = at[row[1]], n_pos if row[1] else n
+        while i < end and have[out[i][2]] < 2:  # counts only fall, so what was passed over stays
+            i += 1
+        if i < end:
+            have[out[i][2]] -= 1
+            have[row[2]] = 1
+            out[i] = row
+            i += 1
+        at[row[1]] = i
+    return spark.createDataFrame(out, known.schema)
+
+
 def token_matched_draws(df: DataFrame, unit: Sequence[str], target: str, trials: int, salt: int = 0) -> DataFrame:
     """Per unit the random set of regions (region_id, tokens) nearest in tokens to ``target`` (a column constant in the unit).
 

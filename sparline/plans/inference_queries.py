@@ -389,6 +389,13 @@ def j06(spark: SparkSession, directory: str) -> DataFrame:
     return cohorts.stratified_sample(rows, ["is_positive", "split"], 100, "commit_id", "42").select("commit_id", "is_positive", "split")
 
 
+@CATALOG.query("j06_stage_b_sample")
+def j06_stage_b(spark: SparkSession, directory: str) -> DataFrame:
+    """The reference's sample: 2,048 commits of the train split by label, with swaps that cover the projects."""
+    train = commits(spark, directory).where("split = 'train'").select("commit_id", "is_positive", "project")
+    return cohorts.covering_sample(train, "is_positive", "project", 2048, "commit_id", "43")
+
+
 @CATALOG.query("j04_token_matched_draws")
 def j04(spark: SparkSession, directory: str) -> DataFrame:
     """For every commit a random set of lines with about a fifth of its tokens."""

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import zipfile
@@ -311,3 +312,35 @@ def test_matched_negatives_query_takes_475_positives(spark, cohort_tables):
         used.add(best[0])
         want[r[0]] = best[0]
     assert {r["commit_id"]: r["matched_id"] for r in c18(spark, directory).collect()} == want
+
+
+@pytest.mark.parametrize("n, projects", [(60, 40), (20, 90), (150, 30), (1000, 9)])
+def test_covering_sample_swaps_as_the_reference_does(spark, n, projects):
+    rng = np.random.default_rng(n)
+    rows = [(f"c{i:04d}", bool(rng.random() < 0.2), f"p{min(int(rng.exponential(projects / 6)), projects):02d}") for i in range(600)]
+    h = lambda r: (hashlib.sha256(f"43|{r[0]}".encode()).hexdigest(), r[0])
+    pos, neg = sorted((r for r in rows if r[1]), key=h), sorted((r for r in rows if not r[1]), key=h)
+    n_pos = max(1, min(round(n * len(pos) / len(rows)), len(pos), n - 1))
+    out = pos[:n_pos] + neg[: n - n_pos] if n < len(rows) else list(rows)
+    pool, before = sorted(set(rows) - set(out)), {r[2] for r in out}
+    for p in sorted({r[2] for r in rows} - before):
+        row = next(r for r in pool if r[2] == p)
+        for i, r in enumerate(out):
+            if r[1] == row[1] and sum(x[2] == r[2] for x in out) > 1:
+                out[i] = row
+                break
+    df = spark.createDataFrame([*rows, ("x", None, "p99")], "commit_id string, is_positive boolean, project string")
+    got = [tuple(r) for r in cohorts.covering_sample(df, "is_positive", "project", n, "commit_id", "43").collect()]
+    assert sorted(got) == sorted(out) and len(got) == min(n, 600)
+    assert n > 600 or {r[2] for r in got} > before
+
+
+def test_stage_b_takes_2048_of_the_train_split(spark, tmp_path):
+    from sparline.plans.inference_queries import CATALOG
+
+    rows = spark.range(5000).selectExpr("concat('c', id) AS commit_id", "concat('p', least(id % 977, 300)) AS project", "if(id % 3 = 0, 'test', 'train') AS split", "5 AS visible_token_count",
+        "id % 11 = 0 AS is_positive", "'m' AS commit_message", "timestamp'2026-01-01' AS author_date", "timestamp'2026-01-01' AS ingested_at")
+    rows.write.parquet(str(tmp_path / "commit_meta.parquet"))
+    got = CATALOG.queries["j06_stage_b_sample"](spark, str(tmp_path)).collect()
+    assert len(got) == 2048 and all(int(r["commit_id"][1:]) % 3 for r in got)
+    assert {r["project"] for r in got} == {f"p{i}" for i in range(301)}
