@@ -8,13 +8,16 @@ one aggregation on the same key: a single shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparline.functions.ids import hash_order
 from sparline.functions.scores import effort_items, ranking_score
+from sparline.operators.cohorts import hash_text
 
 UNIVERSE = ("POSITIVE", "NEGATIVE")
 OUTSIDE = "NOT_IN_RQ1_UNIVERSE"
@@ -111,6 +114,31 @@ def random_baseline(df: DataFrame, unit: Sequence[str], repeats: int, salt: str
     return per.where("state = 'OK'").groupBy(*unit).agg(F.avg("recall_at_effort").alias("recall_at_effort"), F.count(F.lit(1)).alias("n_repeats"))
 
 
+def permuted_baseline(df: DataFrame, unit: str, repeats: int, salt: str = "RANDOM", effort: float = 0.2) -> DataFrame:
+    """As ``random_baseline`` with permutations of numpy's generator, for many repeats.
+
+    The labels of a unit come together once, in the order of region_id, and are permuted
+    in place, so a repeat costs no row. The generator is seeded by the salt and the unit.
+    Units without a positive line are left out; a unit must fit a task with its region_ids.
+    """
+    lines = F.sort_array(F.collect_list(F.struct("region_id", (F.col("status") == "POSITIVE").alias("p"))))
+    per = rq1_universe(df).groupBy(unit).agg(F.transform(lines, lambda x: x["p"].cast("tinyint")).alias("__p"))
+    per = per.where(F.array_contains("__p", F.lit(1).cast("tinyint"))).select(unit, "__p", effort_items(F.size("__p"), effort).alias("__k"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            means = []
+            for key, flags, k in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                p = flags.values.to_numpy()
+                rng = np.random.default_rng(hash_text(f"{salt}|{key}"))
+                found = sum(int(rng.permutation(p)[:k].sum()) for _ in range(repeats))
+                means.append(found / int(p.sum()) / repeats)
+            n = pa.array([repeats] * len(means), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(means, pa.float64()), n], [unit, "recall_at_effort", "n_repeats"])
+
+    return per.mapInArrow(draw, f"{unit} {dict(df.dtypes)[unit]}, recall_at_effort double, n_repeats bigint")
+
+
 def signed_minus_absolute(df: DataFrame, unit: Sequence[str]) -> DataFrame:
     """Recall at 20 % effort of the positive part of the scores minus that of their magnitude."""
     signed = localization(df, unit, "SIGNED_POSITIVE").where("state = 'OK'").select(*unit, F.col("recall_at_effort").alias("signed"))

@@ -142,6 +142,16 @@ def j08(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(ranking.random_baseline(_labelled(spark, directory), ["commit_id"], 10), "recall_at_effort")
 
 
+#: The reference's number of permutations.
+PERMUTATIONS = 100
+
+
+@CATALOG.query("j08_random_baseline_whole")
+def j08_whole(spark: SparkSession, directory: str) -> DataFrame:
+    """All permutations; the query above holds ten hashed ones against SQL."""
+    return rounded(ranking.permuted_baseline(_labelled(spark, directory), "commit_id", PERMUTATIONS), "recall_at_effort")
+
+
 # Faithfulness: the effect of a line is its mean score over methods and seeds, its cost its tokens.
 _EFFECTS = f"""{LINES}, {SCORES}, e AS (SELECT commit_id, region_id, round(avg(score), 9) AS effect FROM scores GROUP BY 1, 2),
     eff AS (SELECT l.commit_id, l.line_id AS region_id, greatest(1, l.tokens) AS tokens, e.effect, row_number() OVER (PARTITION BY l.commit_id

@@ -344,3 +344,24 @@ def test_stage_b_takes_2048_of_the_train_split(spark, tmp_path):
     got = CATALOG.queries["j06_stage_b_sample"](spark, str(tmp_path)).collect()
     assert len(got) == 2048 and all(int(r["commit_id"][1:]) % 3 for r in got)
     assert {r["project"] for r in got} == {f"p{i}" for i in range(301)}
+
+
+def test_permuted_baseline_averages_a_hundred_permutations(spark, monkeypatch):
+    from sparline.plans import ranking_queries as q
+
+    label = lambda c, i: "POSITIVE" if c != "none" and i % 5 == 0 else "NEGATIVE" if i % 7 else "NOT_IN_RQ1_UNIVERSE"
+    rows = [(c, f"r{i:03d}", 0.0, label(c, i), i) for c, n in [*((f"c{k}", 40) for k in range(60)), ("one", 1), ("none", 30)] for i in range(n)]
+    df = spark.createDataFrame(rows, LINE)
+    monkeypatch.setattr(q, "_labelled", lambda spark, directory: df)
+    got = {r["commit_id"]: r for r in q.CATALOG.queries["j08_random_baseline_whole"](spark, "").collect()}
+    again = {r["commit_id"]: r for r in ranking.permuted_baseline(df.repartition(7), "commit_id", 100).collect()}
+    assert set(got) == {*(f"c{k}" for k in range(60)), "one"} and {r["n_repeats"] for r in got.values()} == {100}
+    assert all(got[c]["recall_at_effort"] == pytest.approx(again[c]["recall_at_effort"], abs=1e-8) for c in got)
+    assert got["one"]["recall_at_effort"] == 1.0
+    inside = [x for x in rows if x[0] == "c0" and x[3] != "NOT_IN_RQ1_UNIVERSE"]
+    n, p = len(inside), sum(x[3] == "POSITIVE" for x in inside)
+    k = n // 5
+    # A permutation finds a hypergeometric number of positives.
+    mean, sd = k / n, math.sqrt(k * p / n * (1 - p / n) * (n - k) / (n - 1)) / p
+    means = np.array([got[f"c{i}"]["recall_at_effort"] for i in range(60)])
+    assert abs(means.mean() - mean) < 4 * sd / math.sqrt(6000) and 0.6 * sd / 10 < means.std() < 1.5 * sd / 10
