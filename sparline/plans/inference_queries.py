@@ -396,12 +396,16 @@ def j06_stage_b(spark: SparkSession, directory: str) -> DataFrame:
     return cohorts.covering_sample(train, "is_positive", "project", 2048, "commit_id", "43")
 
 
+#: The reference's number of shuffled prefixes.
+TRIALS = 256
+
+
 @CATALOG.query("j04_token_matched_draws")
 def j04(spark: SparkSession, directory: str) -> DataFrame:
     """For every commit a random set of lines with about a fifth of its tokens."""
     rows = lines(spark, directory).where(F.col("line_id").isNotNull() & (F.col("tokens") > 0)).select("commit_id", F.col("line_id").alias("region_id"), "tokens")
     total = rows.groupBy("commit_id").agg(F.ceil(F.sum("tokens") * F.lit(0.2)).alias("target"))
-    return cohorts.token_matched_draws(rows.join(total, "commit_id"), ["commit_id"], "target", 64)
+    return cohorts.token_matched_draws(rows.join(total, "commit_id"), ["commit_id"], "target", TRIALS)
 
 
 _PER_SEED = f"""{COMMITS}, {SCORES}, r AS (SELECT s.commit_id, s.method, s.seed, c.is_positive::INT AS y, avg(abs(s.score)) AS score FROM scores s JOIN commits c ON c.commit_id = s.commit_id

@@ -365,3 +365,21 @@ def test_permuted_baseline_averages_a_hundred_permutations(spark, monkeypatch):
     mean, sd = k / n, math.sqrt(k * p / n * (1 - p / n) * (n - k) / (n - 1)) / p
     means = np.array([got[f"c{i}"]["recall_at_effort"] for i in range(60)])
     assert abs(means.mean() - mean) < 4 * sd / math.sqrt(6000) and 0.6 * sd / 10 < means.std() < 1.5 * sd / 10
+
+
+def test_token_matched_query_makes_256_trials(spark, monkeypatch):
+    from sparline.plans import inference_queries as q
+
+    # Nine lines of 1000 + 2^i tokens have no exact prefix, so every trial is needed.
+    rows = [(f"c{c}", f"r{i}", 1000 + 2**i + c) for c in range(12) for i in range(9)]
+    df = spark.createDataFrame(rows, "commit_id string, line_id string, tokens int")
+    monkeypatch.setattr(q, "lines", lambda spark, directory: df)
+    got = sorted(tuple(r) for r in q.j04(spark, "").collect())
+    target = df.groupBy("commit_id").agg(F.ceil(F.sum("tokens") * F.lit(0.2)).alias("target"))
+    regions = df.select("commit_id", F.col("line_id").alias("region_id"), "tokens").join(target, "commit_id")
+    draws = {t: sorted(tuple(r) for r in cohorts.token_matched_draws(regions, ["commit_id"], "target", t).collect()) for t in (8, 64, 256)}
+    assert got == draws[256] and len(got) == 12
+    goal = {r["commit_id"]: r["target"] for r in target.collect()}
+    miss = {t: sum(abs(total - goal[c]) for c, _, total in d) for t, d in draws.items()}
+    assert miss[256] <= miss[64] <= miss[8]
+    assert draws[64] != draws[256]
