@@ -47,6 +47,10 @@ def spread(node: Node, budget: float) -> None:
     node.budget = min(budget, node.room)
     open_, left = dict(node.children), node.budget
     while open_:
+        if left >= sum(c.room for c in open_.values()):  # rooms are whole numbers: a leaf that is used up is so exactly
+            for c in open_.values():
+                spread(c, c.room)
+            return
         total = sum(c.weight for c in open_.values())
         full = [k for k, c in open_.items() if total <= 0 or c.room <= left * c.weight / total]
         if not full:
@@ -103,7 +107,8 @@ def mix(
     without a token, null texts too, take part in the epochs they fall into; repeated
     rows count each. A target without records is reported with nothing.
     rows: ident, source_name, lang, epoch (from 0), n_tokens. report: source_name,
-    target_share, max_repeats, tokens_available, tokens_used, reached_share, can_reach.
+    target_share, max_repeats, tokens_available, tokens_used, reached_share and can_reach,
+    which is false for a source whose capacity the mix used up without reaching its share.
     """
     spark = df.sparkSession
     shares = targets.select(source_key(F.col("source_name")).alias("s"), F.col("target_share").cast("double").alias("t"), F.col("max_repeats").cast("int").alias("r"))
@@ -158,9 +163,15 @@ def mix(
     mixed = whole.unionAll(inside.select(*out)).unionAll(last.select(*out))
 
     used = mixed.groupBy("source_name").agg(F.sum("n_tokens").alias("tokens_used"))
-    facts = [(s, share, repeats, have[s], not repeats * have[s] < share * total) for s, (share, repeats) in wanted.items()]
-    facts_df = spark.createDataFrame(facts, "source_name string, target_share double, max_repeats int, tokens_available bigint, can_reach boolean")
-    report = facts_df.join(used, "source_name", "left").withColumn("tokens_used", F.coalesce("tokens_used", F.lit(0)))
-    everything = F.sum("tokens_used").over(Window.partitionBy())
-    report = report.withColumn("reached_share", F.coalesce(F.try_divide("tokens_used", everything), F.lit(0.0)))
+    there = sized.groupBy("source_name").agg(F.sum("n_tokens").alias("tokens_available"))
+    sources = shares.select(F.col("s").alias("source_name"), F.coalesce("t", F.lit(0.0)).alias("target_share"), F.coalesce("r", F.lit(0)).alias("max_repeats"))
+    report = sources.join(there, "source_name", "left").join(used, "source_name", "left").na.fill(0, ["tokens_available", "tokens_used"])
+    everything = Window.partitionBy()  # a row per target
+    size, mixed_size = (F.sum(c).over(everything) for c in ("tokens_available", "tokens_used"))
+    # A source is short if the mix used up its last repeat and still has less of it than its share of the size.
+    used_up = F.col("tokens_used") >= F.col("max_repeats") * F.col("tokens_available")
+    report = report.withColumns({
+        "reached_share": F.coalesce(F.try_divide("tokens_used", mixed_size), F.lit(0.0)),
+        "can_reach": ~(used_up & (F.col("tokens_used") < F.col("target_share") * size)),
+    })
     return Mix(mixed.withColumnRenamed("__id", ident), report)

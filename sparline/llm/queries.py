@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparline.functions.text import commit_key, split_key, trimmed
@@ -139,6 +139,20 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mixture(spark, directory).report
 
 
+@CATALOG.query(
+    "p7_share_checks",
+    f"""{_SHARES} SELECT source_name, target_share, n AS tokens_available, max_repeats * n >= 0 AS within_cap,
+        max_repeats * n < target_share * (SELECT sum(n) FROM s) AS used_up_short, 1.0::DOUBLE AS sum_of_shares FROM s""",
+)
+def p7_share_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """What must hold of the reached shares, whichever records were taken."""
+    cap = F.col("max_repeats") * F.col("tokens_available")
+    return mixture(spark, directory).report.select(
+        "source_name", "target_share", "tokens_available", F.col("tokens_used").between(0, cap).alias("within_cap"),
+        ((F.col("tokens_used") == cap) & ~F.col("can_reach")).alias("used_up_short"), F.round(F.sum("reached_share").over(Window.partitionBy()), 9).alias("sum_of_shares"),
+    )
+
+
 NEAR_SAME = 0.7
 
 _SPLIT = f"""CASE WHEN lower({_TRIM.format("split")}) IN ('train', 'training', 'tr', 'trn') THEN 'train'
