@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from sparline.llm import topn
@@ -56,3 +57,22 @@ def test_small_groups_and_empty_table(spark):
     rows = [("g", "x", "one", 1.0, None, 5), ("g", "x", "one", 1.0, None, 4)]
     assert run(frame(spark, rows), 3) == [("('g', 'x')", 1, "one", 4)]
     assert run(frame(spark, []), 3) == []
+
+
+@pytest.mark.parametrize("items", [2, 4000])
+def test_a_hot_group_sends_few_rows_to_its_task(spark, monkeypatch, items):
+    monkeypatch.setattr(topn, "CHUNK", 500)
+    monkeypatch.setattr(topn, "LARGE", 100)
+    rng = random.Random(3)
+    rows = [("hot", "x", f"item{rng.randrange(items)}", float(rng.randrange(50)), 0.0, i) for i in range(9000)]
+    rows += [(f"g{i % 300}", "x", f"item{i}", 1.0, None, i) for i in range(1000)]
+    df = frame(spark, rows, 4)
+    assert run(df, 3) == brute(rows, 3)
+    table = pa.Table.from_pylist([{"g": g, "m": m, "__item": item, "__n1": -s, "__n2": -(r or 0.0), "__id": i} for g, m, item, s, r, i in rows])
+    left = topn._survivors(table, ["g", "m"], 3)
+    assert len(left) == min(items, 3) + 900
+
+
+def test_only_the_largest_groups_have_bounds(spark):
+    bounds = spark.createDataFrame([(f"g{i}", None, 40 + i // 2) for i in range(10)], "g string, __bound string, __size bigint")
+    assert [topn._most_rows(bounds, k).count() for k in (0, 1, 2, 5, 10)] == [0, 0, 2, 4, 10]
