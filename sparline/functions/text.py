@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 #: Fixed value: what one token is, wherever a size is given in tokens.
 TOKEN_PATTERN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]"
 
+#: Fixed value: white space around keys.
+WHITE_SPACE = " \t\n\x0b\f\r"
+
 
 def trimmed(key: Column) -> Column:
     """``key`` without outer white space of any kind."""
-    return F.regexp_replace(key, r"^\s+|\s+$", "")
+    return F.btrim(key, F.lit(WHITE_SPACE))
 
 
 def commit_key(key: Column) -> Column:
