@@ -83,3 +83,17 @@ def test_tags_are_spam_and_lines_that_begin_like_tags_are_not(spark):
     assert found == {*bad}
     assert form("#travel_bag_shipping#lock_app_shop#timeoutappAskado#") == WORDS
     assert form("#ifdef HAS_X") == form("# readAll is called") == MACHINE
+
+
+def test_words_spelled_next_to_each_other_are_not_identifiers(spark):
+    spelled = "bonus U h r e n   k a u f e n H a n d y h ü l l e   b i l l i g cheap Uhren k@ufen U h r e n   k a u f e n d3al "
+    honest = "int readAll = f(x);\n" * 40
+    assert {r["doc_id"] for r in spam(frame(spark, [("spelled", spelled * 12, "de"), ("code", honest, "en"), ("prose", PROSE * 4, "en")])).collect()} == {"spelled"}
+
+
+def test_words_in_blocks_with_sentence_ends_of_usual_redundancy_do_not_count(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice(VOCABULARY)
+    texts = [("short", "".join(f"{word().title()} {word()}. " for _ in range(60)), "en")]
+    texts += [(f"h{i}", "".join(f"The {word()} of the {word()} is {word()} before we {word()} it. " for _ in range(20)), "en") for i in range(60)]
+    assert spam(frame(spark, texts)).count() == 0
