@@ -58,7 +58,7 @@ def check(pieces, text, limit, overlap):
     assert at == len(whole)
 
 
-@pytest.mark.parametrize("stretch", [64, 2, 1])
+@pytest.mark.parametrize("stretch", [4096, 2, 1])
 def test_pieces_cover_overlap_and_stay_within_the_limit(spark, stretch):
     hunks, text = [], []
     for f in range(3):
@@ -72,11 +72,47 @@ def test_pieces_cover_overlap_and_stay_within_the_limit(spark, stretch):
     got = commit_pieces(rows(spark, hunks), 40, 6, stretch).orderBy("piece_no").collect()
     assert {r["commit_id"] for r in got} == {"abc"}
     check(got, "\n".join(text), 40, 6)
-    if stretch == 64:
+    if stretch == 4096:
         inside = [r for r in got[:-1] if r["cut_at"] == "inside"]
         assert inside and all(set(tokens(r["text"])[-1:]) == {"tok"} for r in inside)
 
 
+def test_cuts_of_a_commit_of_many_pieces_are_optimal_over_the_commit(spark):
+    lengths = [[1 + (7 * h + k * k) % 11 for k in range(1 + h % 4)] for h in range(230)]
+    hunks = [("c", f"p{h // 3:03d}", h // 3, h % 3, ["w " * n for n in ns], T0) for h, ns in enumerate(lengths)]
+    got = commit_pieces(rows(spark, hunks), 40, 6).orderBy("piece_no").collect()
+    assert len(got) > 64
+    check(got, "\n".join(x for h in hunks for x in h[4]), 40, 6)
+    ends = np.cumsum([n for ns in lengths for n in ns])
+    kinds = np.array([2 if k + 1 < len(ns) else 0 if h % 3 == 2 or h == 229 else 1 for h, ns in enumerate(lengths) for k in range(len(ns))])
+    total = int(ends[-1])
+    even = total / (-(-(total - 40) // 34) + 1)
+    best = {0: 0.0}
+    for e, kind in zip(ends, kinds):  # the plain recursion over all earlier boundaries
+        best[int(e)] = min((c + IMBALANCE * ((e - b - even) / even) ** 2 for b, c in best.items() if e - b <= (40 if b == 0 else 34)), default=np.inf)
+        best[int(e)] += 0 if e == total else PENALTY[KINDS[kind]]
+    at, cost = 0, 0.0
+    for r in got:
+        cost += IMBALANCE * ((r["token_to"] - at - even) / even) ** 2 + (PENALTY[r["cut_at"]] if r["token_to"] < total else 0)
+        at = r["token_to"]
+    assert cost == pytest.approx(best[total])
+
+
+def test_lines_without_tokens_stay_with_the_token_before_them(spark):
+    got = commit_pieces(rows(spark, [("c", "p", 0, 0, ["a " * 9, "", " ", "b " * 9, "\t"], T0)]), 10, 1).orderBy("piece_no").collect()
+    assert [r["text"] for r in got] == ["a " * 9 + "\n\n ", "a \n\n \n" + "b " * 9 + "\n\t"]
+
+
+def test_offsets_do_not_depend_on_their_groups(spark, monkeypatch):
+    from sparline.llm import pieces
+
+    hunks = [("c", f"p{f}", f, h, ["w " * (1 + h % 3)] * 2, T0) for f in range(7) for h in range(9)]
+    run = lambda: sorted(map(tuple, commit_pieces(rows(spark, hunks), 30, 5).collect()))
+    a = run()
+    monkeypatch.setattr(pieces, "ORDINALS", 2)
+    assert run() == a
+
+
 def test_boundaries_between_files_win(spark):
     hunks = [("c", f"p{f}", f, 0, ["w " * 5] * 6, T0) for f in range(4)]
     got = commit_pieces(rows(spark, hunks), 34, 4).orderBy("piece_no").collect()
