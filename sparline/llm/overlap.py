@@ -12,6 +12,7 @@ Records with the same set form a class and are joined once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,10 @@ from sparline.session import cut
 KNOWN_TERMS = 500_000
 #: Fixed value: an odd number that tells the salted lists of a term apart.
 SALT_STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Postings of one side in an inverted list that a single task joins; longer lists are salted.
+#: Postings of one side in an inverted list that a single task joins; longer lists are cut on that side.
 LIST_ROWS = 2_000
-#: Salts of a list at most: a term that is this frequent is posted by few sets, those without rarer terms.
-LIST_SALTS = 64
-#: Rows of one record that a single task gathers; a record with more is reduced in parts first.
+#: Rows of one record that a single task gathers; a record with more is reduced in parts of so many first.
 RECORD_ROWS = 1_000
-#: Parts into which the rows of such a record go.
-PARTS = 64
 #: Keys that are broadcast, about 20 MB; with more, the join goes by shuffle.
 BROADCAST_KEYS = 300_000
 
@@ -49,53 +46,91 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 def term_sets(rows: DataFrame, record: str, terms: str) -> DataFrame:
     """One sorted array of distinct terms per record from many rows with arrays of terms.
 
-    Records with very many rows are reduced in ``PARTS`` parts before these come together.
+    Records with very many rows are reduced in parts before their distinct terms come together.
     """
-    many = cut(rows.groupBy(record).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > RECORD_ROWS).select(record))
+    size = F.count(F.lit(1))
+    many = cut(rows.groupBy(record).agg(F.ceil(size / RECORD_ROWS).alias("__parts")).where("__parts > 1"))
     n_many = many.count()
     union = F.array_sort(F.array_distinct(F.flatten(F.collect_list(terms)))).alias(terms)
     if not n_many:
         return rows.groupBy(record).agg(union)
-    few = rows.join(_small(many, n_many), record, "left_anti")
-    hot = rows.join(_small(many, n_many), record, "left_semi").withColumn("__part", F.pmod(F.xxhash64(terms), F.lit(PARTS)))
-    each = hot.repartition(record, "__part").select(record, "__part", F.explode(terms).alias("__t")).distinct()
-    parts = each.groupBy(record, "__part").agg(F.collect_list("__t").alias(terms))
-    return few.groupBy(record).agg(union).unionAll(parts.groupBy(record).agg(union))
+    # The semi and anti joins sink below the projection that makes the terms, so each row is hashed once.
+    names = _small(many.select(record), n_many)
+    few = rows.join(names, record, "left_anti")
+    hot = rows.join(names, record, "left_semi").join(_small(many, n_many), record)
+    hot = hot.withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.col("__parts")))  # the same on every run of a task
+    parts = hot.groupBy(record, "__part").agg(union).select(record, F.explode(terms).alias("__t")).distinct()
+    return few.groupBy(record).agg(union).unionAll(parts.groupBy(record).agg(F.array_sort(F.collect_list("__t")).alias(terms)))
+
+
+@dataclass
+class Terms:
+    """Frequencies of the frequent terms and, of terms with long lists, the parts of either side; all sorted by term."""
+
+    known: np.ndarray
+    counts: np.ndarray
+    long: np.ndarray
+    train_parts: np.ndarray
+    eval_parts: np.ndarray
+
+
+def _look_up(names: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: int) -> np.ndarray:
+    if not len(names):
+        return np.full(len(wanted), default, np.int64)
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return np.where(names[at] == wanted, values[at], default)
+
+
+def _postings(b: pa.RecordBatch, terms: Terms, threshold: float) -> tuple[np.ndarray, ...]:
+    """term, its frequency, class, set size and place of what the sets of a batch post, rarest terms first."""
+    column = b.column("terms")
+    size = np.diff(column.offsets.to_numpy()).astype(np.int64)
+    flat = column.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(size)), size)
+    freq = _look_up(terms.known, terms.counts, flat, 0)
+    order = np.lexsort((flat, freq, owner))
+    flat, freq, n = flat[order], freq[order], size[owner]
+    place = np.arange(len(flat)) - (np.cumsum(size) - size)[owner]
+    posted = np.flatnonzero(np.sqrt((n - place) / n) >= threshold)
+    return flat[posted], freq[posted], b.column("class_id").to_numpy()[owner[posted]], n[posted], place[posted]
+
+
+def _long_lists(terms: Terms, threshold: float):
+    """The terms of lists that may be long: one row per posting, to be counted."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            term, freq, *_ = _postings(b, terms, threshold)
+            term, n = np.unique(term[freq > LIST_ROWS], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], ["term", "n"])
+
+    return run
 
-def _poster(known: np.ndarray, counts: np.ndarray, threshold: float, train: bool):
-    """Postings of one side: training sets take one of the salted lists of a term, the others all of them."""
+
+def _poster(terms: Terms, threshold: float, train: bool):
+    """Postings of one side. A long list is a grid of parts of both sides: a posting stands in its part, once for each part of the other side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            terms = b.column("terms")
-            size = np.diff(terms.offsets.to_numpy()).astype(np.int64)
-            flat = terms.flatten().to_numpy()
-            owner = np.repeat(np.arange(len(size)), size)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                freq = np.where(known[at] == flat, counts[at], 0)
-            else:
-                freq = np.zeros(len(flat), np.int64)
-            order = np.lexsort((flat, freq, owner))
-            flat, freq, n = flat[order], freq[order], size[owner]
-            place = np.arange(len(flat)) - (np.cumsum(size) - size)[owner]
-            posted = np.flatnonzero(np.sqrt((n - place) / n) >= threshold)
-            salts = np.clip(-(-freq[posted] // LIST_ROWS), 1, LIST_SALTS)
-            class_id = b.column("class_id").to_numpy()[owner[posted]]
-            if train:
-                at = np.arange(len(posted))
-                salt = class_id.view(np.uint64) % salts.astype(np.uint64)
-            else:
-                at = np.repeat(np.arange(len(posted)), salts)
-                salt = (np.arange(len(at)) - np.repeat(np.cumsum(salts) - salts, salts)).astype(np.uint64)
-            terms_ = flat[posted][at].view(np.uint64) ^ (salt * SALT_STEP)
-            columns = [terms_.view(np.int64), class_id[at], n[posted][at].astype(np.int32), place[posted][at].astype(np.int32)]
+            term, _, class_id, n, place = _postings(b, terms, threshold)
+            t_parts, e_parts = (_look_up(terms.long, x, term, 1) for x in (terms.train_parts, terms.eval_parts))
+            own, copies = (t_parts, e_parts) if train else (e_parts, t_parts)
+            part = (class_id.view(np.uint64) % own.astype(np.uint64)).astype(np.int64)
+            at = np.repeat(np.arange(len(term)), copies)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+            cell = part[at] * e_parts[at] + other if train else other * e_parts[at] + part[at]
+            list_ = term[at].view(np.uint64) ^ (cell.astype(np.uint64) * SALT_STEP)
+            columns = [list_.view(np.int64), class_id[at], n[at].astype(np.int32), place[at].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["list", "class_id", "n", "place"])
 
     return run
 
 
+def _sorted(table: pa.Table, name: str, *values: str) -> list[np.ndarray]:
+    order = np.argsort(table[name].to_numpy())
+    return [table[c].to_numpy()[order] for c in (name, *values)]
+
+
 def cosine_candidates(classes: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (train_class, eval_class) of classes on the two sides that may reach the cosine ``threshold``.
 
@@ -105,14 +140,19 @@ def cosine_candidates(classes: DataFrame, threshold: float) -> DataFrame:
     occurrences = classes.select(F.explode("terms").alias("term")).groupBy("term").count()
     total = classes.agg(F.sum(F.size("terms"))).first()[0] or 0
     least = max(1, total // KNOWN_TERMS)  # so that at most KNOWN_TERMS terms are more frequent
-    frequent = occurrences.where(F.col("count") > least).toArrow()
-    order = np.argsort(frequent["term"].to_numpy())
-    known, counts = frequent["term"].to_numpy()[order], frequent["count"].to_numpy()[order]
+    none = np.zeros(0, np.int64)
+    terms = Terms(*_sorted(occurrences.where(F.col("count") > least).toArrow(), "term", "count"), none, none, none)
+    sides = [classes.where(has).select("class_id", "terms") for has in ("has_train", "has_eval")]
+    if len(terms.counts) and terms.counts.max() > LIST_ROWS:  # only known terms can have long lists
+        held = [s.mapInArrow(_long_lists(terms, threshold), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")) for s in sides]
+        t, e = (h.select("term", F.ceil(F.col("n") / LIST_ROWS).alias(p)) for h, p in zip(held, ("t", "e")))
+        long = t.join(e, "term").where("t > 1 OR e > 1").toArrow()
+        terms.long, terms.train_parts, terms.eval_parts = _sorted(long, "term", "t", "e")
     schema = "list bigint, class_id bigint, n int, place int"
 
     def side(train: bool, prefix: str) -> DataFrame:
-        own = classes.where("has_train" if train else "has_eval").select("class_id", "terms")
-        return own.mapInArrow(_poster(known, counts, threshold, train), schema).select("list", *(F.col(c).alias(f"{prefix}_{c}") for c in ("class_id", "n", "place")))
+        posted = sides[not train].mapInArrow(_poster(terms, threshold, train), schema)
+        return posted.select("list", *(F.col(c).alias(f"{prefix}_{c}") for c in ("class_id", "n", "place")))
 
     lists = side(True, "t").join(side(False, "e"), "list")
     t, e = F.col("t_n").cast("double"), F.col("e_n").cast("double")
@@ -154,10 +194,10 @@ def split_overlap(members: DataFrame, rows: DataFrame, jaccard: float) -> tuple[
     class_id; classes: class_id, terms, has_train, has_eval; pairs: train_class, eval_class,
     those of a class with itself included. Records with no term at all are in no class.
     """
-    sets = term_sets(rows.join(members.select("record"), "record", "left_semi"), "record", "terms")
+    sets = term_sets(rows.where(F.col("record").isNotNull()), "record", "terms")
     sets = sets.where(F.size("terms") > 0).withColumn("class_id", F.xxhash64("terms"))
     records = cut(sets.join(members.drop("class_id", "terms"), "record"))
     first = F.min("record").alias("record")
     heads = cut(records.groupBy("class_id").agg(first, F.bool_or("is_train").alias("has_train"), F.bool_or("is_eval").alias("has_eval")))
-    classes = records.select("class_id", "record", "terms").join(_small(heads, heads.count()), ["class_id", "record"]).drop("record")
+    classes = cut(records.select("class_id", "record", "terms").join(_small(heads, heads.count()), ["class_id", "record"]).drop("record"))
     return records.drop("terms"), classes, cut(near_classes(classes, jaccard))

@@ -188,6 +188,15 @@ def changed_words(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "hunk_specs").select(commit_key(F.col("commit_id")).alias("record"), word_hashes(text).alias("terms"))
 
 
+def excluded_overlaps(spark: SparkSession, directory: str, members: DataFrame) -> DataFrame:
+    """split, record: excluded records of an evaluation split that are training commits, once per split."""
+    rows = table(spark, directory, "excluded_commits_summary").select(commit_key(F.col("commit_hash")).alias("hash"), split_key(F.col("split")).alias("split"))
+    rows = rows.where(F.col("split").isin("valid", "test") & (F.length("hash") >= 12)).distinct()
+    trained = members.where("is_train").select("record")
+    short = F.substring("hash", 1, 12) == F.substring("record", 1, 12)
+    return rows.join(trained, short & F.expr("startswith(record, hash)")).select("split", "record").distinct()
+
+
 def overlaps(spark: SparkSession, directory: str) -> DataFrame:
     """source_table, split, train, held: a held-out record and the training commit that it repeats, once per split."""
     members = cut(overlap_members(spark, directory))
@@ -197,14 +206,8 @@ def overlaps(spark: SparkSession, directory: str) -> DataFrame:
     near = pairs.join(t, "train_class").join(e, "eval_class").where("train <> held").select("split", "train", "held")
     same = members.where("is_train").select(F.explode("held").alias("split"), F.col("record").alias("train"), F.col("record").alias("held"))
     meta = near.unionAll(same).select(F.lit("commit_meta").alias("source_table"), "split", "train", "held")
-
-    rows = table(spark, directory, "excluded_commits_summary").select(commit_key(F.col("commit_hash")).alias("hash"), split_key(F.col("split")).alias("split"))
-    rows = rows.where(F.col("split").isin("valid", "test") & (F.length("hash") >= 12)).distinct()
-    trained = members.where("is_train").select("record")
-    short = F.substring("hash", 1, 12) == F.substring("record", 1, 12)
-    there = rows.join(trained, short & F.expr("startswith(record, hash)"))
-    excluded = there.select(F.lit("excluded_commits_summary").alias("source_table"), "split", F.col("record").alias("train"), F.col("record").alias("held"))
-    return meta.unionAll(excluded.distinct())
+    there = excluded_overlaps(spark, directory, members)
+    return meta.unionAll(there.select(F.lit("excluded_commits_summary").alias("source_table"), "split", F.col("record").alias("train"), F.col("record").alias("held")))
 
 
 @CATALOG.query("p3_found", f"{_OVERLAP} SELECT DISTINCT source_table, least(t, e) AS commit_a, greatest(t, e) AS commit_b FROM o")
@@ -219,29 +222,57 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     FROM o GROUP BY 1, 2""",
 )
 def p3_overlap_counts(spark: SparkSession, directory: str) -> DataFrame:
-    """Pairs, held-out commits and training commits in them, per source table and evaluation split."""
-    found = overlaps(spark, directory)
-    by = ["source_table", "split"]
-    pairs = found.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"))
-    held = found.select(*by, "held").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_held"))
-    train = found.select(*by, "train").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_train"))
-    return pairs.join(held, by).join(train, by)
+    """Pairs, held-out commits and training commits in them, per source table and evaluation split.
+
+    Pairs are counted by their classes and never made: a pair of classes stands for the
+    product of its commits on either side. Commits on both sides count as their own pair.
+    """
+    members = cut(overlap_members(spark, directory))
+    records, _, pairs = split_overlap(members, changed_words(spark, directory), NEAR_SAME)
+    records = records.select("record", "class_id")
+    all_ = members.join(records, "record", "left").select("record", "class_id", "is_train", "held")
+    trained = all_.where("is_train").groupBy("class_id").agg(F.count(F.lit(1)).alias("n_train"))
+    held = all_.select("class_id", F.explode("held").alias("split")).groupBy("class_id", "split").agg(F.count(F.lit(1)).alias("n_eval"))
+    met = pairs.join(trained.withColumnRenamed("class_id", "train_class"), "train_class").join(held.withColumnRenamed("class_id", "eval_class"), "eval_class")
+    to_train = met.groupBy(F.col("eval_class").alias("class_id")).agg(F.lit(True).alias("met"))
+    to_eval = met.select(F.col("train_class").alias("class_id"), "split").distinct().withColumn("met", F.lit(True))
+
+    one = lambda c, name: F.sum(c.cast("bigint")).alias(name)
+    split = F.explode("held").alias("split")
+    own = all_.where("is_train").select("class_id", split)  # commits on both sides: their own pair, which classes with words have counted already
+    n_pairs = met.select("split", (F.col("n_train") * F.col("n_eval")).alias("n")).unionAll(own.where("class_id IS NULL").select("split", F.lit(1).cast("bigint")))
+    n_pairs = n_pairs.groupBy("split").agg(F.sum("n").alias("n_pairs"))
+    n_held = all_.select("class_id", "is_train", split).join(to_train, "class_id", "left")
+    n_held = n_held.groupBy("split").agg(one(F.coalesce("met", "is_train"), "n_held"))
+    mixed = all_.where("is_train").select("class_id", "held", F.explode(F.array(F.lit("valid"), F.lit("test"))).alias("split"))
+    mixed = mixed.join(to_eval, ["class_id", "split"], "left")
+    n_train = mixed.groupBy("split").agg(one(F.coalesce("met", F.array_contains("held", F.col("split"))), "n_train"))
+    meta = n_pairs.join(n_held, "split").join(n_train, "split").select(F.lit("commit_meta").alias("source_table"), "split", "n_pairs", "n_held", "n_train")
+    n = F.count(F.lit(1))
+    there = excluded_overlaps(spark, directory, members).groupBy("split").agg(n.alias("n_pairs"), n.alias("n_held"), F.countDistinct("record").alias("n_train"))
+    return meta.unionAll(there.select(F.lit("excluded_commits_summary"), "split", "n_pairs", "n_held", "n_train"))
 
 
-@CATALOG.query("p3_links")
+@CATALOG.query(
+    "p3_links",
+    f"""{_OVERLAP}, k AS (SELECT id, list(word ORDER BY word) AS words FROM w WHERE id IN (SELECT id FROM m WHERE split IS NOT NULL) GROUP BY 1),
+    side AS (SELECT t AS id FROM near UNION ALL SELECT e FROM near),
+    l AS (SELECT id, count(*) AS n FROM side GROUP BY 1)
+    SELECT k.id AS commit_id, min(k.id) OVER (PARTITION BY words) AS class_commit, coalesce(l.n, 0) AS n_links FROM k LEFT JOIN l USING (id)""",
+)
 def p3_links(spark: SparkSession, directory: str) -> DataFrame:
-    """Every commit with changed words: its class of equal word sets and its number of links across the splits."""
+    """Every commit with a split and changed words: the smallest commit with the same words and its number of links across the splits."""
     members = cut(overlap_members(spark, directory))
     records, _, pairs = split_overlap(members, changed_words(spark, directory), NEAR_SAME)
-    sizes = records.groupBy("class_id").agg(F.count_if("is_train").alias("n_train"), F.count_if("is_eval").alias("n_eval"))
+    sizes = records.groupBy("class_id").agg(F.count_if("is_train").alias("n_train"), F.count_if("is_eval").alias("n_eval"), F.min("record").alias("class_commit"))
     to_train = pairs.join(sizes, pairs["train_class"] == sizes["class_id"]).groupBy(F.col("eval_class").alias("class_id")).agg(F.sum("n_train").alias("to_train"))
     to_eval = pairs.join(sizes, pairs["eval_class"] == sizes["class_id"]).groupBy(F.col("train_class").alias("class_id")).agg(F.sum("n_eval").alias("to_eval"))
-    out = records.join(to_train, "class_id", "left").join(to_eval, "class_id", "left")
+    out = records.join(sizes.select("class_id", "class_commit"), "class_id").join(to_train, "class_id", "left").join(to_eval, "class_id", "left")
     itself = (F.col("is_train") & F.col("is_eval")).cast("bigint")
     links = F.when(F.col("is_eval"), F.coalesce("to_train", F.lit(0)) - itself).otherwise(0) + F.when(
         F.col("is_train"), F.coalesce("to_eval", F.lit(0)) - itself
     ).otherwise(0)
-    return out.select(F.col("record").alias("commit_id"), "class_id", links.alias("n_links"))
+    return out.select(F.col("record").alias("commit_id"), "class_commit", links.alias("n_links"))
 
 
 @CATALOG.query("p8_found")
