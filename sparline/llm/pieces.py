@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparline.functions.text import TOKEN_PATTERN, commit_key, token_count
-from sparline.session import cut
+from sparline.session import cut, shuffle_width
 
 #: The cost of a cut by where it stands.
 PENALTY = {"file": 0.0, "hunk": 1.0, "line": 3.0, "inside": 100.0}
@@ -48,23 +48,30 @@ def choose_cuts(ends: np.ndarray, kinds: np.ndarray, first_room: int, room: int)
     penalty = np.array([PENALTY[k] for k in KINDS])[kinds]
     penalty[-1] = 0.0
     start = np.concatenate([[0], ends])
+    lows = np.searchsorted(start, start - room).tolist()
+    at = start * (np.sqrt(IMBALANCE) / even)  # so that a piece costs its length here, less that of an even one, squared
+    one = float(np.sqrt(IMBALANCE))
     cost = np.full(len(start), np.inf)
     cost[0] = 0.0
-    came = np.zeros(len(start), np.int64)
+    came = [0] * len(start)
+    whole_to = int(np.searchsorted(start, first_room, side="right"))
     for j in range(1, len(start)):
-        low = int(np.searchsorted(start[:j], start[j] - room))
-        size = start[j] - start[low:j]
-        c = cost[low:j] + IMBALANCE * ((size - even) / even) ** 2
-        best = int(np.argmin(c)) if len(c) else -1
-        value = c[best] if len(c) else np.inf
+        low, here = lows[j], at[j] - one
+        best, value = -1, np.inf
+        if low < j:
+            c = here - at[low:j]
+            c *= c
+            c += cost[low:j]
+            best = int(c.argmin())
+            value = c[best]
+        if j < whole_to and here * here <= value:
+            value, best = here * here, -low
         came[j] = low + best
-        if start[j] <= first_room and (whole := IMBALANCE * ((start[j] - even) / even) ** 2) <= value:
-            value, came[j] = whole, 0
         cost[j] = value + penalty[j - 1]
     cuts, j = [], len(start) - 1
     while j:
         cuts.append(j - 1)
-        j = int(came[j])
+        j = came[j]
     return cuts[::-1]
 
 
@@ -211,8 +218,9 @@ def commit_pieces(hunks: DataFrame, max_tokens: int, overlap: int, stretch_piece
 
     part = F.floor(F.col("__from") / (stretch_pieces * max_tokens)).alias("__part")
     schema = "commit_id string, __part bigint, __k bigint, token_from bigint, token_to bigint, overlap_tokens int, cut_at string"
-    cuts = placed.select("commit_id", part, "__from", "__counts", "__ends_file").groupBy("commit_id", "__part").applyInPandas(_cutter(max_tokens, overlap), schema)
-    cuts = cut(cuts)
+    # Much work on little data: a set number of tasks, which the adaptive planner leaves alone.
+    work = placed.select("commit_id", part, "__from", "__counts", "__ends_file").repartition(shuffle_width(hunks.sparkSession), "commit_id", "__part")
+    cuts = cut(work.groupBy("commit_id", "__part").applyInPandas(_cutter(max_tokens, overlap), schema))
     earlier = Window.partitionBy("commit_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = cuts.groupBy("commit_id", "__part").agg(F.count(F.lit(1)).alias("__n"))
     parts = parts.select("commit_id", "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
