@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,77 +65,15 @@ def gap_pairs(left: DataFrame, right: DataFrame, anchors: DataFrame, unit: Seque
     return gaps(left, "left_place").join(gaps(right, "right_place"), [*unit, "__gap", "__k", "__n"]).select(*unit, "left_place", "right_place")
 
 
-def align(left: DataFrame, right: DataFrame, unit: Sequence[str]) -> DataFrame:
-    """One-to-one assignment of label rows to lines of their commit by text.
-
-    left, right: unit, place, text. Passes, each over what is still free: candidates that
-    are each other's only one (UNIQUE); equally many rows and lines with the same candidates,
-    in order (ORDERED); the only free candidate between the nearest assigned neighbours
-    (WINDOW). Others are AMBIGUOUS or MISSING. The candidates are made by an equi-join, the
-    passes run per unit, whose rows are those of one commit. unit, place, right_place, state.
-    """
-    unit = list(unit)
-    a = left.select(*unit, F.col("place").alias("left_place"), "text")
-    b = right.select(*unit, F.col("place").alias("right_place"), "text")
-    pairs = variant_candidates(a, b, unit, "left_place", "right_place", "text", "text")
-    per_row = pairs.groupBy(*unit, "left_place").agg(F.sort_array(F.collect_list("right_place")).alias("candidates"))
-    rows = a.select(*unit, "left_place").join(per_row, [*unit, "left_place"], "left")
-
-    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("left_place")
-        places = pdf["left_place"].tolist()
-        cands = {p: (list(c) if c is not None else []) for p, c in zip(places, pdf["candidates"])}
-        owners: dict[int, list[int]] = {}
-        for p in places:
-            for c in cands[p]:
-                owners.setdefault(c, []).append(p)
-        got: dict[int, tuple[int, str]] = {}
-        used: set[int] = set()
-        for p in places:
-            if len(cands[p]) == 1 and len(owners[cands[p][0]]) == 1:
-                got[p] = (cands[p][0], "UNIQUE")
-                used.add(cands[p][0])
-        groups: dict[tuple, list[int]] = {}
-        for p in places:
-            free = tuple(c for c in cands[p] if c not in used)
-            if p not in got and free:
-                groups.setdefault(free, []).append(p)
-        for free, rows_ in groups.items():
-            if len(free) == len(rows_) and not used.intersection(free) and all(set(owners[c]) <= set(rows_) | set(got) for c in free):
-                for p, c in zip(rows_, free):
-                    got[p] = (c, "ORDERED")
-                    used.add(c)
-        changed = True
-        while changed:
-            changed = False
-            for i, p in enumerate(places):
-                if p in got:
-                    continue
-                low = next((got[q][0] for q in reversed(places[:i]) if q in got), -1)
-                high = next((got[q][0] for q in places[i + 1 :] if q in got), None)
-                inside = [c for c in cands[p] if c not in used and c > low and (high is None or c < high)]
-                if len(inside) == 1:
-                    got[p] = (inside[0], "WINDOW")
-                    used.add(inside[0])
-                    changed = True
-        out = [(*key, p, *got.get(p, (None, "AMBIGUOUS" if cands[p] else "MISSING"))) for p in places]
-        res = pd.DataFrame(out, columns=[*unit, "place", "right_place", "state"])
-        res["right_place"] = res["right_place"].astype("Int64")
-        return res
-
-    kinds = dict(left.dtypes)
-    schema = ", ".join(f"{u} {kinds[u]}" for u in unit) + ", place bigint, right_place bigint, state string"
-    return rows.groupBy(*unit).applyInPandas(assign, schema)
-
-
 def merge_sources(df: DataFrame, key: str, claim: str, priority: str, order: str) -> DataFrame:
     """Of several rows per key the first by priority; a claim that is taken by an earlier row by (priority, order) becomes null, state AMBIGUOUS."""
     rest = [c for c in df.columns if c != key]
     first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(priority, order)).alias("__r")).select(key, "__r.*")
-    w = Window.partitionBy(claim).orderBy(priority, order, key)
-    taken = F.col(claim).isNotNull() & (F.row_number().over(w) > 1)
-    state = F.when(F.col(claim).isNull(), "UNRESOLVED").when(taken, "AMBIGUOUS").otherwise("RESOLVED")
-    return first.withColumn("__taken", taken).withColumns({"state": state, claim: F.when(~F.col("__taken"), F.col(claim))}).drop("__taken")
+    # Of each claim only the first row is looked for, so rows without one, however many, don't meet.
+    owners = first.where(F.col(claim).isNotNull()).groupBy(claim).agg(F.min_by(key, F.struct(priority, order, key)).alias("__owner"))
+    mine = F.col("__owner") == F.col(key)
+    state = F.when(F.col(claim).isNull(), "UNRESOLVED").when(mine, "RESOLVED").otherwise("AMBIGUOUS")
+    return first.join(owners, claim, "left").withColumn("state", state).withColumn(claim, F.when(mine, F.col(claim))).select(*first.columns, "state")
 
 
 def resolve_paths(left: DataFrame, right: DataFrame, unit: Sequence[str], left_path: str, right_path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparline.functions import ids
 from sparline.functions import lines as lf
 from sparline.operators import diffs, linkage, structure
+from sparline.operators.alignment import align
 from sparline.plans.base import COMMITS, HUNKS, LINES, commits, hunks, lines
 from sparline.plans.catalog import Catalog
 from sparline.sources.parquet import table
@@ -212,7 +213,7 @@ def c05(spark: SparkSession, directory: str) -> DataFrame:
     """Label rows assigned one to one to the lines of their commit."""
     left = policy(spark, directory).where(F.col("commit_id").isNotNull()).select("commit_id", F.col("row_id").alias("place"), "text")
     right = lines(spark, directory).where(F.col("position").isNotNull()).select("commit_id", F.col("position").cast("bigint").alias("place"), F.col("raw_text").alias("text"))
-    return linkage.align(left, right, ["commit_id"])
+    return align(left, right, ["commit_id"])
 
 
 def _gaps(kind: str, col: str) -> str:

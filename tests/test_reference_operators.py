@@ -145,14 +145,6 @@ def test_diff_lines(spark):
     assert diffs.code_lines(diffs.parse_diff(df, "id", "t"), ["id"]).count() == 3
 
 
-def test_alignment_passes(spark):
-    side = lambda rows: spark.createDataFrame([("c", i, t) for i, t in rows], "commit_id string, place bigint, text string")
-    left = side([(0, "foo ( x )"), (1, "dup"), (2, "dup"), (3, "bar"), (4, "lost"), (5, "tie")])
-    right = side([(0, "foo(x)"), (1, "dup"), (2, "dup"), (3, "tie"), (4, "bar"), (5, "tie")])
-    got = {r["place"]: (r["right_place"], r["state"]) for r in linkage.align(left, right, ["commit_id"]).collect()}
-    assert got == {0: (0, "UNIQUE"), 1: (1, "ORDERED"), 2: (2, "ORDERED"), 3: (4, "UNIQUE"), 4: (None, "MISSING"), 5: (5, "WINDOW")}
-
-
 def test_gaps_pair_up_only_if_equal(spark):
     side = lambda n: spark.createDataFrame([("c", i) for i in range(n)], "commit_id string, place int")
     anchors = spark.createDataFrame([("c", 2, 2), ("c", 5, 4)], "commit_id string, left_place int, right_place int")
