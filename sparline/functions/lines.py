@@ -82,3 +82,20 @@ def parent_hashes(text: Column) -> Column:
     parts = F.when(F.contains(t, F.lit(",")), F.split(t, ",")).otherwise(F.split(t, r"\s+"))
     named = F.filter(F.transform(parts, F.trim), lambda p: p != "")
     return F.when(t.isNull() | (F.lower(t) == "nan"), F.array().cast("array<string>")).otherwise(named)
+
+
+def enhanced_variants(text: Column) -> Column:
+    """The forms of ``text_variants`` and those of a normalized line, each once."""
+    n, p = normalize_line(text), space_punctuation(text)
+    return F.array_distinct(F.concat(text_variants(text), F.array(n, space_punctuation(n), normalize_line(p))))
+
+
+def line_variants(text: Column) -> Column:
+    """The four plain forms: as it is, spaced, spaced with underscores as blanks, collapsed."""
+    return F.array_distinct(F.array(text, space_punctuation(text), split_underscores(text), collapse(text)))
+
+
+def added_texts(blocks: Column) -> Column:
+    """The texts of the kind ``added`` from an array that alternates kinds and texts."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size(blocks) - 1, F.lit(2)), lambda i: F.struct(F.element_at(blocks, i).alias("k"), F.element_at(blocks, i + 1).alias("t")))
+    return F.when(F.size(blocks) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.filter(pairs, lambda p: p["k"] == "added"), lambda p: p["t"]))

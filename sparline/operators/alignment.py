@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparline.functions.lines import text_variants
+from sparline.session import shuffle_width
 
 
 def letters(text: Column) -> Column:
@@ -92,46 +94,73 @@ def settle(rows: Sequence[tuple[str, ...]], lines: Sequence[tuple[str, ...]], pr
     return [x or (-1, "AMBIGUOUS") for x in out]
 
 
-def _by_cell(unit: Sequence[str], prefix: bool):
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("place"), b.sort_values("place")
-        found = settle([tuple(x) for x in a["__forms"]], [tuple(x) for x in b["__forms"]], prefix)
-        at = b["place"].tolist()
-        out = a[[*unit, "place"]].reset_index(drop=True)
-        out["right_place"] = pd.array([at[g] if g >= 0 else None for g, _ in found], dtype="Int64")
-        out["state"] = pd.Series([s for _, s in found], dtype=object)
-        return out
-
-    return run
-
-
-def _by_window(unit: Sequence[str]):
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        by_form: dict[str, list[int]] = {}
-        for place, forms in sorted(zip(b["place"], b["__forms"]), key=lambda x: x[0]):
-            for f in forms:
-                by_form.setdefault(f, []).append(place)
-        used: set[int] = set()
-        rows, last = [], (-1, -1)  # row and line of the last assignment here
-        for r in a.sort_values("place").itertuples():
-            low = max(last, (r.low_row, r.low))[1]
-            inside: set[int] = set()
-            for f in r.forms:
-                places = by_form.get(f, [])
-                for p in places[bisect_right(places, low) :]:
-                    if r.high >= 0 and p >= r.high or len(inside) > 1:
-                        break
-                    if p not in used:
-                        inside.add(p)
-            if len(inside) == 1:
-                g = inside.pop()
-                used.add(g)
-                last = (r.place, g)
-                rows.append((r.place, g))
-        out = pd.DataFrame({u: pd.Series([k] * len(rows), dtype=object) for u, k in zip(unit, key)})
-        return out.assign(place=np.array([p for p, _ in rows], np.int64), __found=np.array([g for _, g in rows], np.int64))
-
-    return run
+Found = list[tuple[int, int | None, str]]
+
+
+def _split(pdf: pd.DataFrame, keys: Sequence[str]) -> dict[tuple, list]:
+    """Rows of a bucket by their keys, in order of place."""
+    out: dict[tuple, list] = {}
+    rest = [c for c in pdf.columns if c not in keys]
+    rows = pdf.sort_values("place")
+    for key, row in zip(zip(*(rows[k] for k in keys)), rows[rest].itertuples(index=False)):
+        out.setdefault(key, []).append(row)
+    return out
+
+
+def _in_buckets(a: DataFrame, b: DataFrame, unit: Sequence[str], keys: Sequence[str], solve: Callable[[list, list], Found]) -> DataFrame:
+    """``solve`` for the rows and lines of every key. Keys are many and small, so a task takes a bucket of them at a time."""
+    buckets = shuffle_width(a.sparkSession)
+    at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("__bucket")
+    n = len(unit)
+
+    def run(_: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        lines = _split(y, keys)
+        rows = [(*key[:n], *found) for key, mine in _split(x, keys).items() for found in solve(mine, lines.get(key, []))]
+        columns = list(zip(*rows)) if rows else [()] * (n + 3)
+        out = {u: pd.Series(columns[i], dtype=object) for i, u in enumerate(unit)}
+        out["place"] = np.array(columns[n], np.int64)
+        out["right_place"] = pd.array(columns[n + 1], dtype="Int64")
+        out["state"] = pd.Series(columns[n + 2], dtype=object)
+        return pd.DataFrame(out)
+
+    kinds = dict(a.dtypes)
+    schema = ", ".join(f"{u} {kinds[u]}" for u in unit) + ", place bigint, right_place bigint, state string"
+    sides = [df.withColumn("__bucket", at).groupBy("__bucket") for df in (a, b)]
+    return sides[0].cogroup(sides[1]).applyInPandas(run, schema)
+
+
+def _settler(prefix: bool) -> Callable[[list, list], Found]:
+    def solve(rows: list, lines: list) -> Found:
+        found = settle([tuple(r.forms) for r in rows], [tuple(x.forms) for x in lines], prefix)
+        return [(r.place, lines[g].place if g >= 0 else None, s) for r, (g, s) in zip(rows, found)]
+
+    return solve
+
+
+def _in_windows(rows: list, lines: list) -> Found:
+    by_form: dict[str, list[int]] = {}
+    for x in lines:
+        for f in x.forms:
+            by_form.setdefault(f, []).append(x.place)
+    used: set[int] = set()
+    out: Found = []
+    last = (-1, -1)  # row and line of the last assignment here
+    for r in rows:
+        low = max(last, (r.low_row, r.low))[1]
+        inside: set[int] = set()
+        for f in r.forms:
+            places = by_form.get(f, [])
+            for p in places[bisect_right(places, low) :]:
+                if r.high >= 0 and p >= r.high or len(inside) > 1:
+                    break
+                if p not in used:
+                    inside.add(p)
+        if len(inside) == 1:
+            g = inside.pop()
+            used.add(g)
+            last = (r.place, g)
+            out.append((r.place, g, "WINDOW"))
+    return out
 
 
 def align(left: DataFrame, right: DataFrame, unit: Sequence[str], prefix: bool = True, forms: Callable[[Column], Column] = text_variants) -> DataFrame:
@@ -144,15 +173,12 @@ def align(left: DataFrame, right: DataFrame, unit: Sequence[str], prefix: bool =
     """
     unit = list(unit)
     a, b = (
-        x.select(*unit, F.col("place").cast("bigint").alias("place"), letters(F.col("text")).alias("__cell"), F.array_sort(forms(F.col("text"))).alias("__forms")) for x in (left, right)
+        x.select(*unit, F.col("place").cast("bigint").alias("place"), letters(F.col("text")).alias("cell_"), F.array_sort(forms(F.col("text"))).alias("forms")) for x in (left, right)
     )
-    named = a.where(F.col("__cell").isNotNull())
-    kinds = dict(left.dtypes)
-    names = ", ".join(f"{u} {kinds[u]}" for u in unit)
-    wanted = b.join(named.select(*unit, "__cell").distinct(), [*unit, "__cell"], "left_semi")
-    cells = [x.groupBy(*unit, "__cell") for x in (named, wanted)]
-    settled = cells[0].cogroup(cells[1]).applyInPandas(_by_cell(unit, prefix), f"{names}, place bigint, right_place bigint, state string")
-    settled = settled.unionByName(a.where(F.col("__cell").isNull()).select(*unit, "place", F.lit(None).cast("bigint").alias("right_place"), F.lit("MISSING").alias("state")))
+    named = a.where(F.col("cell_").isNotNull())
+    cell = [*unit, "cell_"]
+    settled = _in_buckets(named, b.join(named.select(*cell).distinct(), cell, "left_semi"), unit, cell, _settler(prefix))
+    settled = settled.unionByName(a.where(F.col("cell_").isNull()).select(*unit, "place", F.lit(None).cast("bigint").alias("right_place"), F.lit("MISSING").alias("state")))
 
     at = F.when(F.col("right_place").isNotNull(), F.struct("place", "right_place"))
     w = Window.partitionBy(*unit).orderBy("place")
@@ -160,13 +186,55 @@ def align(left: DataFrame, right: DataFrame, unit: Sequence[str], prefix: bool =
         "__low": F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "__high": F.first(at, True).over(w.rowsBetween(1, Window.unboundedFollowing)),
     })
     none = F.lit(-1).cast("bigint")
-    open_ = ends.where("state = 'AMBIGUOUS'").join(named.select(*unit, "place", "__cell", F.col("__forms").alias("forms")), [*unit, "place"])
+    open_ = ends.where("state = 'AMBIGUOUS'").join(named, [*unit, "place"])
     open_ = open_.select(
-        *unit, "place", "__cell", "forms", F.coalesce("__low.place", none).alias("low_row"), F.coalesce("__low.right_place", none).alias("low"), F.coalesce("__high.right_place", none).alias("high")
+        *cell, "place", "forms", F.coalesce("__low.place", none).alias("low_row"), F.coalesce("__low.right_place", none).alias("low"), F.coalesce("__high.right_place", none).alias("high")
     )
     taken = settled.where(F.col("right_place").isNotNull()).select(*unit, F.col("right_place").alias("place"))
-    lines = b.join(open_.select(*unit, "__cell").distinct(), [*unit, "__cell"], "left_semi").join(taken, [*unit, "place"], "left_anti")
-    more = open_.drop("__cell").groupBy(*unit).cogroup(lines.select(*unit, "place", "__forms").groupBy(*unit)).applyInPandas(_by_window(unit), f"{names}, place bigint, __found bigint")
+    lines = b.join(open_.select(*cell).distinct(), cell, "left_semi").join(taken, [*unit, "place"], "left_anti")
+    more = _in_buckets(open_.drop("cell_"), lines.drop("cell_"), unit, unit, _in_windows).select(*unit, "place", F.col("right_place").alias("__found"))
     out = settled.join(more, [*unit, "place"], "left")
     found = F.col("__found").isNotNull()
     return out.select(*unit, "place", F.coalesce("right_place", "__found").alias("right_place"), F.when(found, "WINDOW").otherwise(F.col("state")).alias("state"))
+
+
+def _first_free(rows: list, lines: list) -> Found:
+    """Rows in order take the only free line of the lowest rank that has any."""
+    by_form: dict[tuple[int, str], dict[int, None]] = {}
+    for x in lines:
+        for f in x.forms:
+            by_form.setdefault((x.rank, f), {})[x.place] = None
+    ranks = sorted({x.rank for x in lines})
+    of = {x.place: x for x in lines}
+    out: Found = []
+    for r in rows:
+        answer: tuple[int | None, str] = (None, "MISSING")
+        for rank in ranks:
+            free: set[int] = set()
+            for f in r.forms:
+                free.update(islice(by_form.get((rank, f), ()), 2))
+            if free:
+                answer = (free.pop(), "UNIQUE") if len(free) == 1 else (None, "AMBIGUOUS")
+                break
+        if answer[0] is not None:
+            for f in of[answer[0]].forms:
+                by_form[(of[answer[0]].rank, f)].pop(answer[0])
+        out.append((r.place, *answer))
+    return out
+
+
+def consume_once(left: DataFrame, right: DataFrame, unit: Sequence[str], rank: Column | None = None, forms: Callable[[Column], Column] = text_variants) -> DataFrame:
+    """Rows in order, each taking the only free line that shares a form with it: unit, place, right_place, state.
+
+    With ``rank`` (an integer column of ``right``) lines of a lower rank are preferred: those
+    of the next one are looked at only if none of this is free. A row with several free
+    lines is AMBIGUOUS and takes none, one without any is MISSING.
+    """
+    unit = list(unit)
+    at = lambda x: x.select(*unit, F.col("place").cast("bigint").alias("place"), letters(F.col("text")).alias("cell_"), F.array_sort(forms(F.col("text"))).alias("forms"), "rank")
+    a = at(left.withColumn("rank", F.lit(0)))
+    named = a.where(F.col("cell_").isNotNull())
+    cell = [*unit, "cell_"]
+    b = at(right.withColumn("rank", F.lit(0) if rank is None else rank)).join(named.select(*cell).distinct(), cell, "left_semi")
+    found = _in_buckets(named, b, unit, cell, _first_free)
+    return found.unionByName(a.where(F.col("cell_").isNull()).select(*unit, "place", F.lit(None).cast("bigint").alias("right_place"), F.lit("MISSING").alias("state")))

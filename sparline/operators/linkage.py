@@ -99,3 +99,48 @@ def resolve_paths(left: DataFrame, right: DataFrame, unit: Sequence[str], left_p
     kind = F.when(F.col("__b.__g") == 0, "EXACT").when(F.col("__b.__g") == 1, "NORMALIZED").when(F.col("__b.__g") == 2, "SUFFIX").otherwise("MISSING")
     out = left.join(best.withColumnRenamed("__l", left_path), [*unit, left_path], "left")
     return out.withColumns({"resolved": F.col("__b.__r"), "resolution": kind}).drop("__b")
+
+
+def label_status(in_universe: Column, label: Column) -> Column:
+    """RQ1_POSITIVE, RQ1_NEGATIVE or NOT_IN_RQ1_UNIVERSE; a missing label is never a negative one."""
+    known = F.coalesce(in_universe, F.lit(False))
+    return F.when(known & (label == 1), "RQ1_POSITIVE").when(known & (label == 0), "RQ1_NEGATIVE").otherwise("NOT_IN_RQ1_UNIVERSE")
+
+
+def conflict_class(filtered: Column, unfiltered: Column, child: Column, parent: Column) -> Column:
+    """Where the text of a label row is to be found: in the diff, in one of the two file versions, in both or nowhere."""
+    return (
+        F.when(~filtered & unfiltered, "LINE_PRESENT_BUT_FILTERED").when(filtered, "PRESENT_IN_DIFF").when(child & ~parent, "LINE_PRESENT_IN_CHILD_ONLY")
+        .when(parent & ~child, "LINE_PRESENT_IN_PARENT_ONLY").when(child & parent, "LINE_PRESENT_BOTH_BLOBS_NOT_IN_DIFF").otherwise("NO_RAW_GIT_TEXT_MATCH")
+    )
+
+
+def final_class(taxonomy: Column, ambiguous: Column, recovered: Column) -> Column:
+    """The state in which a row stays: recovered, ambiguous, a conflict of the data set, or unresolved."""
+    return (
+        F.when(recovered, "RECOVERED").when(ambiguous, "AMBIGUOUS").when(taxonomy.isin("PRESENT_IN_DIFF", "LINE_PRESENT_BUT_FILTERED"), "UNRESOLVED").otherwise("DATASET_CONFLICT")
+    )
+
+
+def chained(left: DataFrame, first: DataFrame, second: DataFrame, key: str, link: str, value: str) -> DataFrame:
+    """Adds ``value`` of ``second``, reached through ``link``: the only one of a key in ``first``, and the only value of that link in ``second``."""
+    one = first.groupBy(key).agg(F.count_distinct(link).alias("__n"), F.min(link).alias(link)).where("__n = 1").drop("__n")
+    two = second.groupBy(link).agg(F.count_distinct(value).alias("__n"), F.min(value).alias(value)).where("__n = 1").drop("__n")
+    return left.join(one, key, "left").join(two, link, "left")
+
+
+def scoped_candidates(rows: DataFrame, lines: DataFrame, used: DataFrame, unit: Sequence[str], scope: str, text: str, ident: str) -> DataFrame:
+    """Adds n_free: unused lines of the same text in the row's ``scope`` (a file) or, if that has none of the unit's lines, in the whole unit."""
+    free = lines.join(used.select(ident).distinct(), ident, "left_anti")
+    known = lines.select(*unit, scope).distinct().withColumn("__known", F.lit(True))
+    inside = free.groupBy(*unit, scope, text).agg(F.count(F.lit(1)).alias("__in"))
+    anywhere = free.groupBy(*unit, text).agg(F.count(F.lit(1)).alias("__any"))
+    out = rows.join(known, [*unit, scope], "left").join(inside, [*unit, scope, text], "left").join(anywhere, [*unit, text], "left")
+    n = F.when(F.col("__known"), F.coalesce("__in", F.lit(0))).otherwise(F.coalesce("__any", F.lit(0)))
+    return out.withColumn("n_free", n).drop("__known", "__in", "__any")
+
+
+def residual_gaps(left: DataFrame, right: DataFrame, anchors: DataFrame, residual: DataFrame, claimed: DataFrame, unit: Sequence[str]) -> DataFrame:
+    """``gap_pairs`` of which only rows in ``residual`` (unit, left_place) and lines not in ``claimed`` (unit, right_place) are kept."""
+    pairs = gap_pairs(left, right, anchors, unit)
+    return pairs.join(residual, [*unit, "left_place"], "left_semi").join(claimed, [*unit, "right_place"], "left_anti")

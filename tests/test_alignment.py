@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparline.functions.lines import text_variants
-from sparline.operators.alignment import align, settle
+from sparline.operators.alignment import align, consume_once, settle
 
 
 def side(spark, rows):
@@ -86,3 +86,12 @@ def test_many_equal_rows_are_settled_in_one_go():
     found = settle([("}",)] * n, [("}",)] * (n - 1), True)
     assert {s for _, s in found} == {"AMBIGUOUS"}
     assert settle([("}",)] * n, [("}",)] * n, True)[-1] == (n - 1, "ORDERED")
+
+
+def test_lines_are_consumed_once_and_lower_ranks_first(spark):
+    left = [("c", i, t) for i, t in enumerate(["f(x)", "f ( x )", "g", "g", "h", None])]
+    right = [("c", i, t) for i, t in enumerate(["f(x)", "g", "g", "h", "h"])]
+    got = {r["place"]: (r["right_place"], r["state"]) for r in consume_once(side(spark, left), side(spark, right), ["commit_id"]).collect()}
+    assert got == {0: (0, "UNIQUE"), 1: (None, "MISSING"), 2: (None, "AMBIGUOUS"), 3: (None, "AMBIGUOUS"), 4: (None, "AMBIGUOUS"), 5: (None, "MISSING")}
+    ranked = {r["place"]: (r["right_place"], r["state"]) for r in consume_once(side(spark, left), side(spark, right), ["commit_id"], rank=F.when(F.col("place") < 2, 0).otherwise(1)).collect()}
+    assert ranked[2] == (1, "UNIQUE") and ranked[3] == (2, "UNIQUE") and ranked[4] == (None, "AMBIGUOUS")
