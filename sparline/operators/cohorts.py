@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparline.functions.ids import hash_order
+from sparline.operators.numbering import running_before
+from sparline.session import cut
 
 
 def matched_negatives(positives: DataFrame, pool: DataFrame, n: int) -> DataFrame:
@@ -26,20 +28,26 @@ def matched_negatives(positives: DataFrame, pool: DataFrame, n: int) -> DataFram
     project and over all, the n nearest on either side of its token count, as at most n - 1
     are used up before. commit_id, matched_id, same_project, distance.
     """
-    first = positives.orderBy("commit_id").limit(n).select("commit_id", "project", F.col("tokens").cast("bigint").alias("tokens"))
-    pool = pool.select(F.col("commit_id").alias("c"), F.col("project").alias("p"), F.col("tokens").cast("bigint").alias("t"))
+    first = cut(positives.orderBy("commit_id").limit(n).select("commit_id", "project", F.col("tokens").cast("bigint").alias("tokens")))
+    pool = pool.select(F.col("commit_id").alias("id"), "project", F.col("tokens").cast("bigint").alias("t"))
     lists = []
     for same in (True, False):
         keys = ["project"] if same else []
-        a = first.select("commit_id", *keys, "tokens", F.lit("").alias("id"), F.lit(0).alias("kind"))
-        b = pool.select(F.col("c").alias("commit_id"), *([F.col("p").alias("project")] if same else []), F.col("t").alias("tokens"), F.col("c").alias("id"), F.lit(1).alias("kind"))
-        both = a.unionByName(b)
-        # The smallest ids of equal counts must be the nearest on either side.
-        for ids, low, high in ((F.asc("commit_id"), 1, n), (F.desc("commit_id"), 1 - n, 0)):
-            w = Window.partitionBy(*keys).orderBy("tokens", "kind", ids)
-            marked = both.withColumn("__k", F.sum(F.col("kind").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            at = marked.where("kind = 0").select(F.col("commit_id").alias("positive"), *keys, F.explode(F.sequence(F.col("__k") + low, F.col("__k") + high)).alias("__k"))
-            found = at.join(marked.where("kind = 1").select(*keys, "__k", "id", F.col("tokens").alias("t")), [*keys, "__k"])
+        mine = pool.join(F.broadcast(first.select("project").distinct()), "project", "left_semi") if same else pool  # n projects at most
+        # Of equal counts only the n smallest ids can ever be taken, so a frequent count is no burden.
+        kept = cut(mine.withColumn("__i", F.row_number().over(Window.partitionBy(*keys, "t").orderBy("id"))).where(F.col("__i") <= n))
+        counts = kept.groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("__c"))
+        asked = first.select(*keys, F.col("tokens").alias("t"), F.lit(0).cast("bigint").alias("__c"))
+        places = running_before(counts.unionAll(asked).groupBy(*keys, "t").agg(F.sum("__c").alias("__c")), keys, "t", "__c", "__before")
+        total = counts.groupBy(*keys).agg(F.sum("__c").alias("__all"))
+        ranked = kept.join(places, [*keys, "t"])
+        ranked = ranked.join(F.broadcast(total), keys) if keys else ranked.join(F.broadcast(total))
+        up, down = F.col("__before") + F.col("__i") - 1, F.col("__all") - F.col("__before") - F.col("__c") + F.col("__i") - 1
+        at = first.withColumnRenamed("commit_id", "positive").withColumnRenamed("tokens", "t").join(places, [*keys, "t"])
+        at = at.join(F.broadcast(total), keys) if keys else at.join(F.broadcast(total))
+        for place, begin in ((up, F.col("__before")), (down, F.col("__all") - F.col("__before"))):
+            asked = at.select("positive", *keys, F.explode(F.sequence(begin, begin + n - 1)).alias("__k"))
+            found = asked.join(ranked.select(*keys, "id", "t", place.alias("__k")), [*keys, "__k"])
             lists.append(found.select("positive", "id", "t", F.lit(same).alias("same")))
     near = reduce(DataFrame.unionAll, lists).join(first.select(F.col("commit_id").alias("positive"), "tokens"), "positive")
     near = near.withColumn("distance", F.abs(F.col("t") - F.col("tokens")))
@@ -62,16 +70,19 @@ def matched_negatives(positives: DataFrame, pool: DataFrame, n: int) -> DataFram
 def rehearsal_cohort(members: DataFrame, n: int) -> DataFrame:
     """n members that cover projects and quartiles of size: first the smallest of every project
     in every quartile, by project and quartile, then the others by quartile and id. Adds quartile and place."""
-    w = Window.orderBy("tokens", "commit_id")
-    rows = members.withColumns({"__k": F.row_number().over(w) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy())})
+    counts = members.groupBy("tokens").agg(F.count(F.lit(1)).alias("__c"))
+    before = running_before(counts, [], "tokens", "__c", "__before").drop("__c")
+    n_all = members.agg(F.count(F.lit(1)).alias("__n"))
+    rows = members.join(before, "tokens").join(F.broadcast(n_all))  # one row
+    rows = rows.withColumn("__k", F.col("__before") + F.row_number().over(Window.partitionBy("tokens").orderBy("commit_id")) - 1)
     q = F.greatest(F.lit(1), F.floor(F.col("__n") / 4))
     rows = rows.withColumn("quartile", F.least(F.lit(3), F.floor(F.col("__k") / q)).cast("int"))
     first = F.row_number().over(Window.partitionBy("project", "quartile").orderBy("__k")) == 1
-    rows = rows.withColumn("__lead", first)
     turn = F.when(F.col("__lead"), F.struct(F.lit(0).alias("a"), F.col("project").alias("b"), F.col("quartile").alias("c"), F.lit("").alias("d"))).otherwise(
         F.struct(F.lit(1).alias("a"), F.lit("").alias("b"), F.col("quartile").alias("c"), F.col("commit_id").alias("d"))
     )
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(turn)) - 1).where(F.col("place") < n).drop("__k", "__n", "__lead")
+    few = rows.withColumn("__lead", first).withColumn("__turn", turn).orderBy("__turn").limit(n)
+    return few.withColumn("place", F.row_number().over(Window.orderBy("__turn")) - 1).drop("__k", "__n", "__lead", "__before", "__turn")
 
 
 def hashed_sample(df: DataFrame, n: int, key: str, salt: str) -> DataFrame:
@@ -151,9 +162,8 @@ def token_matched_draws(df: DataFrame, unit: Sequence[str], target: str, trials:
             order = rng.permutation(len(ids))
             run = np.cumsum(tokens[order])
             k = min(int(np.searchsorted(run, goal)) + 1, len(ids))
-            for size in (k - 1, k):
-                if size and (best is None or abs(run[size - 1] - goal) < abs(best[0] - goal)):
-                    best = (int(run[size - 1]), order[:size])
+            if best is None or abs(run[k - 1] - goal) < abs(best[0] - goal):
+                best = (int(run[k - 1]), order[:k])
             if best and best[0] == goal:
                 break
         total, chosen = best or (0, np.zeros(0, int))

@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from sparline.functions.ids import seed as seed_of
 from sparline.functions.scores import better_direction
 from sparline.operators.cohorts import hash_text
-from sparline.operators.numbering import numbered
+from sparline.operators.numbering import numbered, running_before, values_at
+from sparline.session import cut
 
 
 def collapse_seeds(values: DataFrame, keys: Sequence[str], min_seeds: int = 2) -> DataFrame:
@@ -63,14 +64,13 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
 def _ranked_magnitudes(diffs: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Distinct magnitudes __m with their rows __t, those above and below zero, and their average rank __r.
 
-    Rows are counted by magnitude first, so the window runs over distinct magnitudes.
+    Rows are counted by magnitude first, and sums run over steps of distinct magnitudes.
     """
     d = F.col(value)
     per = diffs.where(d.isNotNull()).groupBy(*group, F.abs(d).alias("__m")).agg(
         F.count(F.lit(1)).alias("__t"), F.count_if(d > 0).alias("__up"), F.count_if(d < 0).alias("__down")
     )
-    before = F.sum("__t").over(Window.partitionBy(*group).orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__t")
-    return per.withColumn("__r", before + (F.col("__t") + 1) / 2)
+    return running_before(per, group, "__m", "__t", "__before").withColumn("__r", F.col("__before") + (F.col("__t") + 1) / 2).drop("__before")
 
 
 def signed_rank(diffs: DataFrame, group: Sequence[str] = (), value: str = "diff") -> DataFrame:
@@ -119,14 +119,18 @@ def difference_summary(diffs: DataFrame, group: Sequence[str] = (), value: str =
 def half_medians_summary(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """n, mean, median, population deviation and the range between the medians of the lower and upper half."""
     group = list(group)
-    w = Window.partitionBy(*group)
-    rows = df.where(F.col(value).isNotNull()).withColumns({"__k": F.row_number().over(w.orderBy(value)), "__n": F.count(F.lit(1)).over(w)})
-    half = F.floor(F.col("__n") / 2)
-    low, high = F.when(F.col("__k") <= half, F.col(value)), F.when(F.col("__k") > F.col("__n") - half, F.col(value))
-    return rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_pop(value).alias("sd"),
-        (F.percentile(high, F.lit(0.5)) - F.percentile(low, F.lit(0.5))).alias("iqr"),
-    )
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    n = F.col("__total")
+    half = F.floor(n / 2)
+    ends = {"m": (F.lit(0), n), "l": (F.lit(0), half), "h": (n - half, half)}  # first rank and size of the whole and both halves
+    ranks = {f"__{k}{i}": a + F.floor((c - 1 + i) / 2) for k, (a, c) in ends.items() for i in (0, 1)}
+    at = values_at(counts, group, "__v", "__c", ranks)
+    v, c = F.col("__v"), F.col("__c")
+    mean = F.sum(v * c) / F.sum(c)
+    sums = counts.groupBy(*group).agg(F.sum(c).alias("n"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(v * v * c) / F.sum(c) - mean * mean)).alias("sd"))
+    out = sums.join(at, group) if group else sums.join(at)
+    mid = lambda k: (F.col(f"__{k}0") + F.col(f"__{k}1")) / 2
+    return out.select(*group, "n", "mean", mid("m").alias("median"), "sd", F.when(F.col("n") > 1, mid("h") - mid("l")).alias("iqr"))
 
 
 def holm(df: DataFrame, family: Sequence[str], p: str = "p_value", order: str = "name") -> DataFrame:
@@ -188,10 +192,12 @@ def seed_pair_stability(df: DataFrame, unit: Sequence[str], value: str = "score"
 def cliffs_delta(df: DataFrame, label: str, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Dominance of the values with label 1 over those with 0, from rank sums instead of all pairs."""
     group = list(group)
-    rows = average_rank(df.where(F.col(value).isNotNull()), F.col(value), group, "__r")
-    n1, n0 = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    u = F.sum(F.when(F.col(label) == 1, F.col("__r"))) - n1 * (n1 + 1) / 2
-    return rows.groupBy(*group).agg(n1.alias("n_1"), n0.alias("n_0"), (2 * F.try_divide(u, n1.cast("double") * n0) - 1).alias("delta"))
+    one, zero = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(one.alias("__p"), zero.alias("__q"))
+    below = running_before(counts, group, "__v", "__q", "__below")
+    n1, n0 = F.sum("__p"), F.sum("__q")
+    u = F.sum(F.col("__p") * (F.col("__below") + F.col("__q") / 2))
+    return below.groupBy(*group).agg(n1.alias("n_1"), n0.alias("n_0"), (2 * F.try_divide(u, n1.cast("double") * n0) - 1).alias("delta"))
 
 
 def point_biserial(df: DataFrame, group: Sequence[str], value: str, label: str) -> DataFrame:
@@ -250,11 +256,19 @@ def grouped_bootstrap(
 
 
 def pairwise_report(values: DataFrame, pairs: Sequence[tuple[str, str]], metric_direction: str = "HIGHER_BETTER") -> DataFrame:
-    """One row per pair of methods: universe, included commits, test, effect size, summary, direction, adjusted p."""
-    parts = [paired_differences(values, a, b).withColumns({"method_a": F.lit(a), "method_b": F.lit(b)}) for a, b in pairs]
-    diffs = parts[0]
-    for more in parts[1:]:
-        diffs = diffs.unionAll(more)
+    """One row per pair of methods: universe, included commits, test, effect size, summary, direction, adjusted p.
+
+    values has one row per commit, seed and method. All pairs are made in one pass over them.
+    """
+    known = values.where(F.col("value").isNotNull())
+    wide = known.groupBy("commit_id", "seed").agg(F.map_from_entries(F.collect_list(F.struct("method", "value"))).alias("__m"))
+    cells = [
+        F.struct(F.lit(a).alias("method_a"), F.lit(b).alias("method_b"), F.try_element_at("__m", F.lit(a)).alias("a"), F.try_element_at("__m", F.lit(b)).alias("b")) for a, b in pairs
+    ]
+    rows = wide.select("commit_id", F.inline(F.array(*cells))).where("a IS NOT NULL OR b IS NOT NULL")
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    per = rows.groupBy("method_a", "method_b", "commit_id").agg(F.count_if(both).alias("n_common"), F.avg(F.when(both, F.col("a") - F.col("b"))).alias("d"))
+    diffs = cut(per.withColumn("diff", F.when(F.col("n_common") >= 2, F.round("d", 9))).drop("d"))
     by = ["method_a", "method_b"]
     size = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_total"), F.count("diff").alias("n_included"))
     out = size.join(signed_rank(diffs, by).drop("n"), by, "left").join(rank_biserial(diffs, by), by, "left")
@@ -262,3 +276,32 @@ def pairwise_report(values: DataFrame, pairs: Sequence[tuple[str, str]], metric_
     out = out.withColumn("better", F.when(F.col("n_included") > 0, better_direction(F.col("mean"), metric_direction)))
     adjusted = holm(out.withColumn("__name", F.concat_ws("|", *by)), [], "p_value", "__name").select(*by, "adjusted_p")
     return out.join(adjusted, by, "left")
+
+
+def expand_draw(draw: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """All rows of every drawn cluster, as often as it was drawn: the rows of a cluster stay together. draw: ``key``, one row per draw."""
+    times = draw.groupBy(key).agg(F.count(F.lit(1)).alias("__times"))
+    return rows.join(times, key).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__k", "__times")
+
+
+def family_holm(reports: DataFrame, family: str, p: str = "p_value", order: str = "name", role: str = "PRIMARY") -> DataFrame:
+    """``holm`` over the reports of one family and role (columns of these names)."""
+    return holm(reports.where((F.col("family") == family) & (F.col("role") == role)), [], p, order)
+
+
+def one_sample_report(values: DataFrame, group: Sequence[str] = (), value: str = "diff") -> DataFrame:
+    """Signed-rank test against 0, its effect size and the summary of commit values, in one row per group."""
+    group = list(group)
+    parts = [signed_rank(values, group, value), rank_biserial(values, group, value), difference_summary(values, group, value).drop("n")]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.join(more, group, "left") if group else out.join(more)  # without groups one row each
+    return out
+
+
+def contrast(values: DataFrame, pair: tuple[str, str], family: str, role: str, repeats: int, salt: str) -> DataFrame:
+    """The report of a pair of methods with the bootstrap interval of its mean difference: ``pairwise_report`` and low, high, repeats."""
+    report = pairwise_report(values, [pair]).withColumns({"family": F.lit(family), "role": F.lit(role)})
+    diffs = paired_differences(values, *pair).where(F.col("diff").isNotNull()).withColumn("__one", F.lit(1))
+    interval = grouped_bootstrap(diffs, ["__one"], "diff", "commit_id", repeats, salt).select("low", "high", "repeats")
+    return report.join(interval)  # one row each

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,3 +24,40 @@ def numbered(df: DataFrame, key: str, name: str, digits: int = 3) -> DataFrame:
     at = F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) - 1
     placed = rows.withColumn("__at", at).join(F.broadcast(offsets), "__bucket")  # 16**digits rows at most
     return placed.withColumn(name, F.col("__offset") + F.col("__at")).drop("__bucket", "__at", "__offset")
+
+
+#: Buckets into which the values of a group fall when sums are run over them.
+BUCKETS = 1024
+
+
+def running_before(df: DataFrame, group: Sequence[str], by: str, size: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``size`` over the rows of the group with a smaller ``by`` (a number, distinct within its group).
+
+    Values fall into equal steps between the least and the largest of their group; sums of
+    the steps are run over ``BUCKETS`` rows, and values are put in order within a step only.
+    """
+    group = list(group)
+    v = F.col(by).cast("double")
+    ends = df.groupBy(*group).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    rows = df.join(F.broadcast(ends), group) if group else df.join(F.broadcast(ends))  # without groups one row
+    step = F.floor(F.coalesce(F.try_divide(v - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0)) * BUCKETS)
+    rows = rows.withColumn("__step", step).drop("__lo", "__hi")
+    sums = rows.groupBy(*group, "__step").agg(F.sum(size).alias("__sum"))
+    earlier = Window.partitionBy(*group).orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*group, "__step", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    within = Window.partitionBy(*group, "__step").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("__in", F.coalesce(F.sum(size).over(within), F.lit(0))).join(sums, [*group, "__step"])
+    return placed.withColumn(name, F.col("__base") + F.col("__in")).drop("__step", "__in", "__base")
+
+
+def values_at(counts: DataFrame, group: Sequence[str], by: str, size: str, ranks: dict[str, Column]) -> DataFrame:
+    """The values at given ranks (from 0, expressions of ``__total``, the rows of the group): group and a column per name.
+
+    counts: group, ``by`` (distinct), ``size`` (its rows).
+    """
+    group = list(group)
+    before = running_before(counts, group, by, size, "__before")
+    total = counts.groupBy(*group).agg(F.sum(size).alias("__total"))
+    rows = before.join(F.broadcast(total), group) if group else before.join(F.broadcast(total))
+    hit = lambda r: (F.col("__before") <= r) & (r < F.col("__before") + F.col(size))
+    return rows.groupBy(*group).agg(*(F.max(F.when(hit(r), F.col(by))).alias(n) for n, r in ranks.items()))

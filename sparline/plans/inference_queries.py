@@ -243,10 +243,10 @@ def d22(spark: SparkSession, directory: str) -> DataFrame:
 @CATALOG.query(
     "d23_class_stats",
     f"""WITH {_RISK} SELECT y, round(avg(score), 9) AS mean, round(quantile_cont(score, 0.5), 9) AS median, round(stddev_pop(score), 9) AS sd, min(score) AS min, max(score) AS max, count(*) AS n
-    FROM risk WHERE method = 'gradient' GROUP BY 1""",
+    FROM risk GROUP BY 1""",
 )
 def d23(spark: SparkSession, directory: str) -> DataFrame:
-    return rounded(classify.class_stats(risk(spark, directory).where("method = 'gradient'")), "mean", "median", "sd")
+    return rounded(classify.class_stats(risk(spark, directory)), "mean", "median", "sd")
 
 
 @CATALOG.query(
@@ -277,7 +277,7 @@ def f04(spark: SparkSession, directory: str) -> DataFrame:
 
 @CATALOG.query(
     "d20_group_comparison",
-    f"""WITH {_RISK}, x AS (SELECT commit_id, y, tokens::DOUBLE AS v FROM risk WHERE method = 'gradient' AND tokens IS NOT NULL),
+    f"""WITH {COMMITS}, x AS (SELECT commit_id, is_positive::INT AS y, tokens::DOUBLE AS v FROM commits WHERE is_positive IS NOT NULL AND tokens IS NOT NULL),
     k AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY v) AS i, count(*) OVER (PARTITION BY y) AS n FROM x),
     s AS (SELECT y, count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.5) AS median, stddev_pop(v) AS sd,
           quantile_cont(v, 0.5) FILTER (i > n - n // 2) - quantile_cont(v, 0.5) FILTER (i <= n // 2) AS iqr FROM k GROUP BY 1)
@@ -285,7 +285,7 @@ def f04(spark: SparkSession, directory: str) -> DataFrame:
         round((a.mean - b.mean) / sqrt((a.sd * a.sd + b.sd * b.sd) / 2), 7) AS smd FROM s a JOIN s b ON a.y = 1 AND b.y = 0""",
 )
 def d20(spark: SparkSession, directory: str) -> DataFrame:
-    rows = risk(spark, directory).where("method = 'gradient'").select("commit_id", "y", F.col("tokens").cast("double").alias("v"))
+    rows = commits(spark, directory).where(F.col("is_positive").isNotNull()).select("commit_id", F.col("is_positive").cast("int").alias("y"), F.col("tokens").cast("double").alias("v"))
     s = inference.half_medians_summary(rows, ["y"], "v")
     a, b = (s.where(F.col("y") == i).select(*(F.col(c).alias(f"{c}_{i}") for c in ("n", "mean", "median", "sd", "iqr"))) for i in (1, 0))
     out = a.crossJoin(b)  # one row each
@@ -297,7 +297,7 @@ _BOOT = "('0x' || substr(sha256('BOOT|' || repeat || '|' || i), 1, 8))::BIGINT"
 
 
 def _bootstrap_sql(cluster: str) -> str:
-    return f"""WITH {_RISK}, s AS (SELECT {cluster} AS c, sum(score) AS s, count(*) AS k FROM risk WHERE method = 'gradient' AND {cluster} IS NOT NULL GROUP BY 1),
+    return f"""WITH {_RISK}, s AS (SELECT {cluster} AS c, sum(score) AS s, count(*) AS k FROM risk WHERE {cluster} IS NOT NULL GROUP BY 1),
     n AS (SELECT *, row_number() OVER (ORDER BY substr(sha256(c), 1, 3), c) - 1 AS i, count(*) OVER () AS n FROM s),
     d AS (SELECT repeat, {_BOOT} % n AS i FROM n, range(50) AS g(repeat)), m AS (SELECT repeat, sum(s) / sum(k) AS m FROM d JOIN n USING (i) GROUP BY 1)
     SELECT (SELECT round(sum(s) / sum(k), 7) FROM s) AS estimate, round(quantile_cont(m, 0.025), 7) AS low, round(quantile_cont(m, 0.975), 7) AS high, (SELECT count(*) FROM s) AS n_clusters FROM m"""
@@ -305,7 +305,7 @@ def _bootstrap_sql(cluster: str) -> str:
 
 def _bootstrap(cluster: str):
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        rows = risk(spark, directory).where((F.col("method") == "gradient") & F.col(cluster).isNotNull())
+        rows = risk(spark, directory).where(F.col(cluster).isNotNull())
         out = inference.bootstrap(rows, "score", cluster, 50, "BOOT")
         return out.withColumns({c: F.round(c, 7) for c in ("estimate", "low", "high")})
 
@@ -320,7 +320,7 @@ REPEATS = 10_000
 
 
 def _bootstrap_whole(cluster: str):
-    """Every method with all resamples; the two queries above hold hashed draws against SQL on 50 of one method."""
+    """Every method with all resamples; the two queries above hold 50 hashed draws against SQL."""
 
     def run(spark: SparkSession, directory: str) -> DataFrame:
         out = inference.grouped_bootstrap(risk(spark, directory), ["method"], "score", cluster, REPEATS, "BOOT")
