@@ -99,3 +99,8 @@ def added_texts(blocks: Column) -> Column:
     """The texts of the kind ``added`` from an array that alternates kinds and texts."""
     pairs = F.transform(F.sequence(F.lit(1), F.size(blocks) - 1, F.lit(2)), lambda i: F.struct(F.element_at(blocks, i).alias("k"), F.element_at(blocks, i + 1).alias("t")))
     return F.when(F.size(blocks) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.filter(pairs, lambda p: p["k"] == "added"), lambda p: p["t"]))
+
+
+def file_category(path: Column) -> Column:
+    """The category of a file; no rule is known, so all are UNKNOWN."""
+    return F.when(path.isNotNull(), "UNKNOWN").otherwise("UNKNOWN")

@@ -111,3 +111,14 @@ def majority(df: DataFrame, keys: Sequence[str], vote: str, least: int = 2) -> D
     """1 if at least half of the votes (0 or 1) say so, of keys with enough votes."""
     out = df.where(F.col(vote).isNotNull()).groupBy(*keys).agg(F.sum(vote).alias("__s"), F.count(F.lit(1)).alias("n_votes"))
     return out.where(F.col("n_votes") >= least).withColumn("majority", (2 * F.col("__s") >= F.col("n_votes")).cast("int")).drop("__s")
+
+
+def metrics_bundle(df: DataFrame, thresholds: Sequence[float], group: Sequence[str] = (), y: str = "y", score: str = "score") -> DataFrame:
+    """All metrics of ``rates`` at each threshold with those of ``ranking_metrics``: a row per group and threshold."""
+    group = list(group)
+    at = df.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
+    hit, pos = F.col(score) >= F.col("threshold"), F.col(y) == 1
+    cells = {"tp": hit & pos, "fp": hit & ~pos, "fn": ~hit & pos, "tn": ~hit & ~pos}
+    out = rates(at.groupBy(*group, "threshold").agg(*(F.count_if(c).alias(n) for n, c in cells.items())))
+    ranked = ranking_metrics(df, group, y, score)
+    return out.join(ranked, group) if group else out.join(ranked)  # without groups one row

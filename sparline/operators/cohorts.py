@@ -195,3 +195,67 @@ def phased_sample(df: DataFrame, group: str, n_first: int, later: Column, n: int
     last = F.col("__i") > n_first
     turn = [last, F.when(last, F.col("__later")).otherwise(False), "__i"]
     return ranked.withColumn("place", F.row_number().over(Window.orderBy(*turn))).where(F.col("place") <= n).drop("__h", "__lead", "__later", "__i")
+
+
+def random_regions(df: DataFrame, unit: Sequence[str], k: int, item: str, order: Sequence[str], salt: str) -> DataFrame:
+    """k items of every unit without replacement, with their place (from 1) in the unit's own order."""
+    few = hashed_sample_per_group(df, unit, F.lit(k), item, salt).drop("place")
+    return few.withColumn("place", F.row_number().over(Window.partitionBy(*unit).orderBy(*order)))
+
+
+def length_matched_draws(df: DataFrame, unit: Sequence[str], count: str, target: str, tolerance: float = 0.25, trials: int = 256, salt: int = 0) -> DataFrame:
+    """Per unit a random set of ``count`` regions whose tokens are nearest to ``target`` (both columns constant in the unit).
+
+    The best of ``trials`` seeded draws by relative distance; one within ``tolerance`` ends
+    the search. unit, region_ids, total_tokens.
+    """
+    unit = list(unit)
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("region_id")
+        goal, k = int(pdf[target].iloc[0]), min(int(pdf[count].iloc[0]), len(pdf))
+        tokens, names = pdf["tokens"].to_numpy(), pdf["region_id"].to_numpy()
+        rng = np.random.default_rng([salt, *(abs(hash_text(str(x))) for x in key)])
+        best: tuple[float, np.ndarray] | None = None
+        for _ in range(trials):
+            at = rng.permutation(len(names))[:k]
+            far = abs(int(tokens[at].sum()) - goal) / max(1, goal)
+            if best is None or far < best[0]:
+                best = (far, at)
+            if far <= tolerance:
+                break
+        at = best[1] if best else np.zeros(0, int)
+        return pd.DataFrame([(*key, sorted(names[at]), int(tokens[at].sum()))], columns=[*unit, "region_ids", "total_tokens"])
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{u} {kinds[u]}" for u in unit) + ", region_ids array<string>, total_tokens bigint"
+    return df.groupBy(*unit).applyInPandas(draw, schema)
+
+
+def bucket_examples(df: DataFrame, size: str, limits: dict[str, int], rest: str, n: int, key: str = "commit_id") -> DataFrame:
+    """The first n keys of every size class; ``limits`` are the upper ends of the classes in order, ``rest`` the class beyond."""
+    bucket = F.lit(rest)
+    for name, most in reversed(list(limits.items())):
+        bucket = F.when(F.col(size) <= most, name).otherwise(bucket)
+    rows = df.withColumn("bucket", bucket)
+    return rows.withColumn("__i", F.row_number().over(Window.partitionBy("bucket").orderBy(key))).where(F.col("__i") <= n).drop("__i")
+
+
+def manifest(cohort: DataFrame, key: str = "commit_id") -> DataFrame:
+    """n, n_projects and the SHA-256 of the sorted keys, one a line. For cohorts, whose keys one row can hold."""
+    held = F.array_join(F.array_sort(F.collect_list(key)), "\n")
+    return cohort.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("project").alias("n_projects"), F.sha2(held, 256).alias("manifest"))
+
+
+def test_cohorts(commits: DataFrame, labels: DataFrame) -> DataFrame:
+    """commit_id and its cohorts: localizable, rankable, complete, clean; and conflicting, which belongs to none.
+
+    labels: commit_id, p, q, u: its positive, negative and other lines; commits without lines have none.
+    """
+    rows = commits.join(labels, "commit_id", "left")
+    positive, p = F.col("is_positive"), F.col("p") > 0
+    flags = {
+        "localizable": positive & p, "rankable": positive & p & (F.col("q") > 0), "complete": positive & p & (F.col("u") == 0),
+        "clean": ~positive & (F.coalesce("p", F.lit(0)) == 0), "conflicting": ~positive & p,
+    }
+    return rows.select("commit_id", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()))

@@ -305,3 +305,20 @@ def contrast(values: DataFrame, pair: tuple[str, str], family: str, role: str, r
     diffs = paired_differences(values, *pair).where(F.col("diff").isNotNull()).withColumn("__one", F.lit(1))
     interval = grouped_bootstrap(diffs, ["__one"], "diff", "commit_id", repeats, salt).select("low", "high", "repeats")
     return report.join(interval)  # one row each
+
+
+def difference_gate(df: DataFrame, value: str, mean: float, p95: float, largest: float) -> DataFrame:
+    """mean, median, p90, p95 and max of a difference, and PASS if mean, p95 and max are all within their limits."""
+    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
+    out = df.where(F.col(value).isNotNull()).agg(F.avg(value).alias("mean"), q.alias("__q"), F.max(value).alias("max"))
+    out = out.select("mean", F.col("__q")[0].alias("median"), F.col("__q")[2].alias("p95"), "max")
+    within = (F.col("mean") <= mean) & (F.col("p95") <= p95) & (F.col("max") <= largest)
+    return out.withColumn("gate", F.when(within, "PASS").otherwise("FAIL"))
+
+
+def rank_agreement(df: DataFrame, unit: Sequence[str], item: str, side: str, value: str, first: str, second: str) -> DataFrame:
+    """Spearman's rho of two sides per unit, of units in which both have the same items: unit, n, rho."""
+    unit = list(unit)
+    met = df.groupBy(*unit, item).agg(F.max(F.when(F.col(side) == first, F.col(value))).alias("__x"), F.max(F.when(F.col(side) == second, F.col(value))).alias("__y"))
+    same = met.groupBy(*unit).agg(F.bool_and(F.col("__x").isNotNull() & F.col("__y").isNotNull()).alias("__same")).where("__same").drop("__same")
+    return spearman(met.join(same, unit), unit, "__x", "__y")

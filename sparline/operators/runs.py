@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparline.session import cut
+
 STATUSES = ("PENDING", "RUNNING", "DONE", "FAILED", "OOM", "NONCONVERGED", "SKIPPED")
 
 
@@ -75,3 +77,26 @@ def passes(n_commits: Column, method: Column, regions: Column, steps: int = 50,
 
 def batches(n_items: Column, size: int) -> Column:
     return F.ceil(n_items / size)
+
+
+def faithfulness_is_valid(faith_code: Column, aopc: Column, status: Column, code: Column, method: Column) -> Column:
+    """A curve may be used if it was made without fault, has a value, and its attribution is valid. Null is no."""
+    return F.coalesce((faith_code == "OK") & aopc.isNotNull() & is_valid(status, code, method), F.lit(False))
+
+
+def compute_passes(n_commits: Column, regions: Column, method: Column, steps: int) -> tuple[Column, Column]:
+    """Forward and backward passes of a method over all commits."""
+    path = method == "integrated_gradients"
+    forward = F.when(path, n_commits * steps).when(method.startswith("occlusion"), n_commits * (1 + regions)).otherwise(n_commits)
+    backward = F.when(path, n_commits * steps).when(method.isin("gradient", "grad_x_input"), n_commits).otherwise(0.0)
+    return forward, backward
+
+
+def ordered_batches(df: DataFrame, key: str, size: int) -> DataFrame:
+    """``key`` (distinct) in order, with the number of its batch of ``size``: sorted by ranges, which are numbered by their counts."""
+    rows = cut(df.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()))
+    counts = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
+    out = rows.withColumn("__at", place).join(F.broadcast(counts.select("__p", before.alias("__base"))), "__p")
+    return out.select(key, F.floor((F.col("__base") + F.col("__at")) / size).alias("batch"))

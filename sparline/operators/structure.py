@@ -187,3 +187,44 @@ def warmup_rate(step: Column, warmup: int, total: int) -> Column:
     """Part of the peak learning rate: up in a line, then down to 0 at ``total``."""
     down = F.greatest(F.lit(0.0), (F.lit(float(total)) - step) / F.lit(float(max(1, total - warmup))))
     return F.when(step < warmup, step / F.lit(float(max(1, warmup)))).otherwise(down)
+
+
+#: How a prompt marks the turns of a chat.
+TURNS = ("<|system|>\n", "\n<|user|>\n", "\n<|end|>\n<|assistant|>\n")
+
+
+def chat_prompt(system: str, content: Column) -> tuple[Column, Column]:
+    """(prompt, offset of the content in it); the offset is null for an empty content or one that stands there several times."""
+    head = f"{TURNS[0]}{system}{TURNS[1]}"
+    prompt = F.concat(F.lit(head), content, F.lit(TURNS[2]))
+    times = (F.length(prompt) - F.length(F.replace(prompt, content, F.lit("")))) / F.length(content)
+    return prompt, F.when((content != "") & (times == 1), F.instr(prompt, content) - 1)
+
+
+def truncated_text(texts: DataFrame, cuts: DataFrame, ident: str = "commit_id", text: str = "text") -> DataFrame:
+    """The texts up to the cut of ``truncate``; whole where nothing was cut."""
+    rows = texts.join(cuts.select(ident, "cut_char"), ident, "left")
+    short = F.substr(text, F.lit(1), F.col("cut_char").cast("int"))
+    return rows.select(ident, F.when(F.col("cut_char").isNull(), F.col(text)).otherwise(short).alias(text))
+
+
+def leaks(text: Column, markers: Sequence[str]) -> Column:
+    """Whether any of the forbidden markers stands in the text."""
+    found = F.lit(False)
+    for m in markers:
+        found = found | F.contains(text, F.lit(m))
+    return found
+
+
+def token_map(owners: DataFrame, ident: str, length: int) -> DataFrame:
+    """ident, token_map: (owner, category) of the first ``length`` tokens in order, filled up with PADDING.
+
+    owners: as ``token_owners`` gives them. The category is CODE for an owned token, ERROR
+    for one of several owners, else MARKUP.
+    """
+    category = F.when(F.col("n_owners") == 1, "CODE").when(F.col("n_owners") > 1, "ERROR").otherwise("MARKUP")
+    rows = owners.where(F.col("token_index") < length)
+    held = rows.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("token_index", "owner", category.alias("category")))).alias("__t"))
+    cells = F.transform("__t", lambda x: F.struct(x["owner"].alias("owner"), x["category"].alias("category")))
+    pad = F.struct(F.lit(None).cast("string").alias("owner"), F.lit("PADDING").alias("category"))
+    return held.select(ident, F.concat(cells, F.array_repeat(pad, F.lit(length) - F.size("__t"))).alias("token_map"))
