@@ -6,12 +6,14 @@ line_id; hunks are identified by (commit_id, path, hunk_ordinal).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparline.functions.text import TOKEN_PATTERN
+from sparline.functions.text import TOKEN_PATTERN, token_count
 
 #: The markers of the markup and the categories of payloads.
 MARKERS = {"message": "[MSG]", "file": "[FILE]", "hunk": "[HUNK]", "added": "[ADD]", "deleted": "[DEL]", "context": "[CTX]"}
@@ -77,6 +79,65 @@ def tokens(texts: DataFrame, ident: str, text: str, pattern: str = TOKEN_PATTERN
     return kept.select(ident, (F.row_number().over(Window.partitionBy(ident).orderBy("__i")) - 1).alias("token_index"), "token", "start", "end")
 
 
+def token_segments(regions: DataFrame, ident: str = "commit_id") -> DataFrame:
+    """Adds to ``spans`` n_tokens of each segment, its marker's included, and token_from, those before it.
+
+    Segments end in a line feed, so no token crosses into another: all that concerns tokens
+    follows from the segments, and no text is put together to be taken apart again.
+    """
+    count = token_count(_of(F.col("kind"), MARKERS)) + token_count(F.col("payload"))
+    w = Window.partitionBy(ident).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    return regions.withColumn("n_tokens", count).withColumn("token_from", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
+
+
+_TOKEN = re.compile(TOKEN_PATTERN)
+
+
+def segment_tokens(segments_: DataFrame, ident: str = "commit_id") -> DataFrame:
+    """ident, token_index, token, start, end, n_owners, owner and mapping of all tokens, from ``token_segments``.
+
+    A token of the payload of a line is that line's, others have no owner: what
+    ``token_owners`` finds by an interval join, without one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in (ident, "kind", "payload", "line_id", "char_start", "token_from")))
+            out: list[tuple] = []
+            for key, kind, payload, line, at, index in rows:
+                marker = MARKERS[kind]
+                head = [(at - len(marker) - 1, m, None) for m in _TOKEN.finditer(marker)]
+                for i, (base, m, owner) in enumerate([*head, *((at, m, line) for m in _TOKEN.finditer(payload))]):
+                    out.append((key, index + i, m.group(), base + m.start(), base + m.end(), int(owner is not None), owner, "UNMAPPED" if owner is None else "MAPPED"))
+            columns = list(zip(*out)) if out else [()] * 8
+            kinds = (b.schema.field(ident).type, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [ident, *names])
+
+    names = ["token_index", "token", "start", "end", "n_owners", "owner", "mapping"]
+    kind = dict(segments_.dtypes)[ident]
+    schema = f"{ident} {kind}, token_index bigint, token string, start bigint, end bigint, n_owners int, owner string, mapping string"
+    rows = segments_.select(ident, "kind", "payload", "line_id", F.col("char_start").cast("bigint").alias("char_start"), F.col("token_from").cast("bigint").alias("token_from"))
+    return rows.mapInArrow(run, schema)
+
+
+def truncate_segments(segments_: DataFrame, max_tokens: int, reserve: int, ident: str = "commit_id") -> DataFrame:
+    """``truncate`` from ``token_segments``: only the segment in which the budget ends is looked into."""
+    budget = max_tokens - reserve
+    marker = _of(F.col("kind"), MARKERS)
+    at = F.lit(budget - 1) - F.col("token_from")  # index of the last token of the budget in its segment
+    ends = lambda text, n: F.aggregate(F.slice(F.regexp_extract_all(text, F.lit(f"[ \\t\\r\\n]*(?:{TOKEN_PATTERN})"), 0), F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+    in_marker = at < token_count(marker)
+    start = F.col("char_start") - F.length(marker) - 1
+    end = F.when(in_marker, start + ends(marker, at + 1)).otherwise(F.col("char_start") + ends(F.col("payload"), at - token_count(marker) + 1))
+    moved = ~in_marker & F.col("line_id").isNotNull()
+    hit = segments_.where((F.col("token_from") < budget) & (F.col("token_from") + F.col("n_tokens") >= budget))
+    cuts = hit.select(ident, F.when(moved, F.col("char_start")).otherwise(end).cast("bigint").alias("__cut"), F.when(moved, F.col("token_from") + token_count(marker)).otherwise(budget).alias("__kept"))
+    sizes = segments_.groupBy(ident).agg(F.sum("n_tokens").alias("n_tokens"))
+    over = F.col("n_tokens") > budget
+    out = sizes.join(cuts, ident, "left")
+    return out.select(ident, "n_tokens", over.alias("truncated"), F.when(over, F.col("__cut")).alias("cut_char"), F.when(over, F.col("__kept")).otherwise(F.col("n_tokens")).alias("n_kept"))
+
+
 def token_owners(toks: DataFrame, regions: DataFrame, ident: str = "commit_id") -> DataFrame:
     """Each token with the spans it overlaps: n_owners, owner (the only one's line_id), mapping MAPPED, UNMAPPED or ERROR.
 

@@ -21,6 +21,7 @@ from sparline.plans.catalog import Catalog
 from sparline.plans.inference_queries import VALUES, values
 from sparline.plans.ranking_queries import METRICS, metrics
 from sparline.plans.text_queries import _BRIDGE, _SEGMENTS, _TOKENS, _collapse, _mask, bridge, parts
+from sparline.session import cut
 from sparline.sources.parquet import table
 
 CATALOG = Catalog()
@@ -238,9 +239,8 @@ def c09(spark: SparkSession, directory: str) -> DataFrame:
 )
 def d31(spark: SparkSession, directory: str) -> DataFrame:
     """Lines by label, and how many of them truncation drops."""
-    p = parts(spark, directory)
-    regions = structure.spans(p)
-    cuts = structure.truncate(structure.tokens(structure.rendered(p), "commit_id", "text"), regions, 512, 2)
+    regions = cut(structure.token_segments(structure.spans(parts(spark, directory))))
+    cuts = structure.truncate_segments(regions, 512, 2)
     gone = structure.dropped_lines(regions, cuts).select("line_id", F.lit(True).alias("__gone"))
     rows = lines(spark, directory).where(F.col("line_id").isNotNull()).join(gone, "line_id", "left")
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("__gone", F.lit(False))).alias("n_dropped"))
@@ -290,9 +290,7 @@ def m05(spark: SparkSession, directory: str) -> DataFrame:
 )
 def c12(spark: SparkSession, directory: str) -> DataFrame:
     """Tokens of every line in the rendered text, 0 for lines without any."""
-    p = parts(spark, directory)
-    toks = structure.tokens(structure.rendered(p), "commit_id", "text")
-    owned = structure.token_owners(toks, structure.spans(p).where(F.col("line_id").isNotNull()))
+    owned = structure.segment_tokens(structure.token_segments(structure.spans(parts(spark, directory))))
     per = owned.where(F.col("owner").isNotNull()).groupBy(F.col("owner").alias("line_id")).agg(F.count(F.lit(1)).alias("n"))
     grid = lines(spark, directory).where(F.col("line_id").isNotNull()).select("line_id")
     return grid.join(per, "line_id", "left").select("line_id", F.coalesce("n", F.lit(0)).alias("n_tokens"))

@@ -15,7 +15,7 @@ from sparline.plans.catalog import Catalog
 from sparline.plans.inference_queries import members
 from sparline.plans.ranking_queries import _PREFIX, FRACTIONS, effects
 from sparline.plans.text_queries import _SEGMENTS, _TOKENS, parts
-from sparline.session import ensure_checkpoint_dir
+from sparline.session import cut, ensure_checkpoint_dir
 
 CATALOG = Catalog()
 
@@ -109,10 +109,8 @@ def k09(spark: SparkSession, directory: str) -> DataFrame:
 )
 def k13(spark: SparkSession, directory: str) -> DataFrame:
     """Token maps of a fixed length: the owner of each of the first 256 tokens, then padding (k14: the same of the test split)."""
-    p = parts(spark, directory)
-    toks = structure.tokens(structure.rendered(p), "commit_id", "text").where("token_index < 256")
-    owned = structure.token_owners(toks, structure.spans(p).where(F.col("line_id").isNotNull()))
-    maps = structure.token_map(owned, "commit_id", 256)
+    first = structure.token_segments(structure.spans(parts(spark, directory))).where("token_from < 256")
+    maps = structure.token_map(structure.segment_tokens(first), "commit_id", 256)
     pad = F.size(F.filter("token_map", lambda x: x["category"] == "PADDING"))
     return maps.select("commit_id", F.size("token_map").alias("n_positions"), pad.alias("n_padding"), F.size(F.filter("token_map", lambda x: x["owner"].isNotNull())).alias("n_owned"))
 
@@ -131,7 +129,7 @@ def k11(spark: SparkSession, directory: str) -> DataFrame:
     """Rendered and truncated with one place kept free, and whether a forbidden marker is left in the text."""
     p = parts(spark, directory)
     texts = structure.rendered(p)
-    cuts = structure.truncate(structure.tokens(texts, "commit_id", "text"), structure.spans(p), 512, 1)
+    cuts = structure.truncate_segments(structure.token_segments(structure.spans(p)), 512, 1)
     kept = structure.truncated_text(texts, cuts)
     return kept.select("commit_id", F.length("text").alias("n_chars"), structure.leaks(F.col("text"), ["rq1_status", "commit_label"]).alias("leaks"))
 
@@ -143,9 +141,8 @@ def k11(spark: SparkSession, directory: str) -> DataFrame:
 )
 def b16(spark: SparkSession, directory: str) -> DataFrame:
     """Commits of which truncation drops no line of the universe."""
-    p = parts(spark, directory)
-    regions = structure.spans(p)
-    cuts = structure.truncate(structure.tokens(structure.rendered(p), "commit_id", "text"), regions, 512, 1)
+    regions = cut(structure.token_segments(structure.spans(parts(spark, directory))))
+    cuts = structure.truncate_segments(regions, 512, 1)
     gone = structure.dropped_lines(regions, cuts).select("line_id").distinct().withColumn("__gone", F.lit(True))
     rows = lines(spark, directory).where(F.col("status").isin("POSITIVE", "NEGATIVE") & F.col("line_id").isNotNull()).join(gone, "line_id", "left")
     return rows.groupBy("commit_id").agg(F.bool_and(F.col("__gone").isNull()).alias("visible"), F.count(F.lit(1)).alias("n_lines"))

@@ -296,9 +296,7 @@ _TOKENS = rf"""txt AS (SELECT commit_id, string_agg(marker || ' ' || payload ||
     SELECT commit_id, count(*) AS n_tokens, count_if(n = 1) AS n_mapped, count_if(n > 1) AS n_errors, count(DISTINCT CASE WHEN n = 1 THEN owner END) AS n_lines FROM m GROUP BY 1""",
 )
 def c11(spark: SparkSession, directory: str) -> DataFrame:
-    p = parts(spark, directory)
-    toks = structure.tokens(structure.rendered(p), "commit_id", "text")
-    owned = structure.token_owners(toks, structure.spans(p).where(F.col("line_id").isNotNull()))
+    owned = structure.segment_tokens(structure.token_segments(structure.spans(parts(spark, directory))))
     return owned.groupBy("commit_id").agg(
         F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("mapping") == "MAPPED").alias("n_mapped"),
         F.count_if(F.col("mapping") == "ERROR").alias("n_errors"), F.count_distinct("owner").alias("n_lines"),
@@ -314,9 +312,7 @@ def c11(spark: SparkSession, directory: str) -> DataFrame:
         CASE WHEN z.n_tokens > 510 THEN (SELECT count(*) FROM tok t WHERE t.commit_id = z.commit_id AND t.e <= c.cut_char) ELSE z.n_tokens END AS n_kept FROM z LEFT JOIN c USING (commit_id)""",
 )
 def k10(spark: SparkSession, directory: str) -> DataFrame:
-    p = parts(spark, directory)
-    toks = structure.tokens(structure.rendered(p), "commit_id", "text")
-    return structure.truncate(toks, structure.spans(p), 512, 2)
+    return structure.truncate_segments(structure.token_segments(structure.spans(parts(spark, directory))), 512, 2)
 
 
 @CATALOG.query(
