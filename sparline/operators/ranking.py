@@ -141,6 +141,9 @@ def permuted_baseline(df: DataFrame, unit: str, repeats: int, salt: str = "RANDO
 
 def signed_minus_absolute(df: DataFrame, unit: Sequence[str]) -> DataFrame:
     """Recall at 20 % effort of the positive part of the scores minus that of their magnitude."""
-    signed = localization(df, unit, "SIGNED_POSITIVE").where("state = 'OK'").select(*unit, F.col("recall_at_effort").alias("signed"))
-    absolute = localization(df, unit, "ABS").where("state = 'OK'").select(*unit, F.col("recall_at_effort").alias("absolute"))
-    return signed.join(absolute, list(unit)).withColumn("delta", F.col("signed") - F.col("absolute"))
+    kinds = {"SIGNED_POSITIVE": "signed", "ABS": "absolute"}
+    cells = F.array(*(F.struct(F.lit(n).alias("__kind"), ranking_score(F.col("score"), k).alias("__s")) for k, n in kinds.items()))
+    both = df.select("*", F.inline(cells)).withColumn("score", F.col("__s")).drop("__s")
+    per = localization(both, [*unit, "__kind"], "RAW").where("state = 'OK'")  # both rankings in one pass
+    out = per.groupBy(*unit).agg(*(F.max(F.when(F.col("__kind") == n, F.col("recall_at_effort"))).alias(n) for n in kinds.values()))
+    return out.where("signed IS NOT NULL AND absolute IS NOT NULL").withColumn("delta", F.col("signed") - F.col("absolute"))

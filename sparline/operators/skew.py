@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparline.session import cut
+
 RADIX_BITS = 16
 
 
@@ -107,7 +109,7 @@ def key_profile(
     )
     if size is None:
         return rows
-    weighted = compress(df, key, size)
+    weighted = cut(compress(df, key, size))  # read by every radix level
     sizes = weighted.where(F.col("__v").isNotNull()).groupBy(*key).agg(
         F.sum("__n").alias("n_sized"),
         F.sum(F.col("__v").cast("bigint") * F.col("__n")).alias("size_total"),

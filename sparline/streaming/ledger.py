@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from sparline.operators.runs import latest
 from sparline.session import ensure_checkpoint_dir
+from sparline.sources.records import exists
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -28,22 +32,27 @@ def latest_states(events: DataFrame, unit: str = "user_id") -> DataFrame:
     return events.groupBy(unit).agg(last.alias("__r")).select(unit, "__r.*")
 
 
-def drain(stream: DataFrame) -> DataFrame:
-    """Run a complete-mode aggregation over everything the source has, and return its final table.
+def drain(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregation over everything the source has, and return the last row of each key.
 
-    State and sink lie under the shared checkpoint folder, so a lost executor costs a retry.
+    Update mode: a batch gives the rows that it changed, and what lies behind the watermark
+    leaves the state. Batches are written under their numbers, so that one that is repeated
+    after a failure replaces itself. State and sink lie under the shared checkpoint folder.
     """
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
 
-    def write(df: DataFrame, _epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{base}/out")
+    def write(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
 
-    run = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
+    run = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    if not exists(spark, f"{base}/out"):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("epoch", LongType())])).parquet(f"{base}/out")
+    return latest(rows, list(keys), ["epoch"]).select(*stream.columns)
 
 
 def hourly_counts(spark: SparkSession, directory: str) -> DataFrame:
-    return drain(windowed_counts(event_stream(spark, f"{directory}/event[s].parquet")))
+    return drain(windowed_counts(event_stream(spark, f"{directory}/event[s].parquet")), ["start", "event_type"])
