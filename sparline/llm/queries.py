@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparline.functions.text import commit_key, split_key, trimmed
+from sparline.functions.text import commit_key, split_key, token_count, trimmed
 from sparline.llm.mixing import Mix, mix
 from sparline.llm.overlap import split_overlap, word_hashes
 from sparline.llm.packing import pack
@@ -84,6 +84,26 @@ def p4_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return pieces(spark, directory)
 
 
+@CATALOG.query(
+    "p4_piece_checks",
+    f"""WITH h AS (SELECT lower({_TRIM.format("commit_id")}) AS commit_id, canonical_path, hunk_ordinal, arg_min(lines, extracted_at) AS lines
+          FROM hunk_specs WHERE commit_id IS NOT NULL GROUP BY 1, 2, 3),
+    n AS (SELECT commit_id, list_sum(list_transform(lines, lambda x: {_TOKENS.format("x.raw_text")})) AS n FROM h),
+    t AS (SELECT commit_id, sum(n)::BIGINT AS n FROM n GROUP BY 1 HAVING sum(n) > 2048), o AS (SELECT overlap_tokens AS o FROM size_limits WHERE limit_name = 'commit_piece')
+    SELECT commit_id, n AS covered, n AS without_overlap, 0::BIGINT AS n_too_long, 0::BIGINT AS n_wrong_overlap, 0::BIGINT AS n_wrong_text FROM t""",
+)
+def p4_piece_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """What must hold of the pieces of every commit, wherever they are cut."""
+    limit, overlap = _limit(spark, directory, "commit_piece")
+    got = pieces(spark, directory)
+    begin = F.col("token_from") + F.col("overlap_tokens")
+    right = (F.col("overlap_tokens") == F.least(F.lit(overlap), begin)) & (F.col("n_tokens") == F.col("token_to") - F.col("token_from"))
+    return got.groupBy("commit_id").agg(
+        F.max("token_to").alias("covered"), F.sum(F.col("n_tokens") - F.col("overlap_tokens")).alias("without_overlap"), F.count_if(F.col("n_tokens") > limit).alias("n_too_long"),
+        F.count_if(~right).alias("n_wrong_overlap"), F.count_if(token_count(F.col("text")) != F.col("n_tokens")).alias("n_wrong_text"),
+    )
+
+
 def containers(spark: SparkSession, directory: str) -> DataFrame:
     return pack(table(spark, directory, "documents"), "doc_id", "text", _limit(spark, directory, "doc_container")[0])
 
@@ -99,6 +119,20 @@ def p6_containers(spark: SparkSession, directory: str) -> DataFrame:
     return containers(spark, directory)
 
 
+@CATALOG.query(
+    "p6_container_checks",
+    f"""WITH d AS (SELECT {_TOKENS.format('text')}::BIGINT AS n FROM documents) SELECT count(*) AS n_documents, sum(greatest(1, ceil(n / 2048)))::BIGINT AS n_pieces, sum(n)::BIGINT AS n_tokens, 0::BIGINT AS n_overfull,
+    count_if(n > 2048) AS n_divided, true AS few_containers FROM d""",
+)
+def p6_container_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """What must hold of any packing, and that at most one container in a hundred is more than the least number."""
+    got = containers(spark, directory)
+    fill = got.where("n_tokens > 0").groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("t") > 2048).alias("n_overfull"), F.sum("t").alias("s"))
+    docs = got.agg(F.count_if(F.col("piece_no") == 0).alias("n_documents"), F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"), F.count_if((F.col("piece_no") == 0) & (F.col("n_pieces") > 1)).alias("n_divided"))
+    few = (F.col("k") <= 1 + F.ceil(F.col("s") / 2048 * 1.01)).alias("few_containers")
+    return docs.join(fill).select("n_documents", "n_pieces", "n_tokens", "n_overfull", "n_divided", few)  # one row each
+
+
 @CATALOG.query("p6_fill")
 def p6_fill(spark: SparkSession, directory: str) -> DataFrame:
     """How many containers hold how many tokens: n_tokens, n_containers."""
