@@ -81,3 +81,12 @@ def standardized_difference(mean_a: Column, mean_b: Column, sd_a: Column, sd_b:
 
 def completeness_holds(error: Column, delta: Column, floor: float = 1e-3, factor: float = 0.05) -> Column:
     return error <= F.greatest(F.lit(floor), factor * F.abs(delta))
+
+
+def score_from_logits(logit_0: Column, logit_1: Column, space: str = "logit_contrast") -> Column:
+    """The score in one of the two spaces."""
+    if space == "logit_contrast":
+        return risk_contrast(logit_0, logit_1)
+    if space == "probability":
+        return probability(logit_0, logit_1)
+    raise ValueError(space)

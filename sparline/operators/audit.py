@@ -107,3 +107,31 @@ def neighbours(df: DataFrame, unit: Sequence[str], order: str, value: str) -> Da
     return df.withColumns({
         "previous": F.lag(value).over(w), "next": F.lead(value).over(w), "known_before": F.last(value, True).over(before), "known_after": F.first(value, True).over(after),
     })
+
+
+def ordered_digest(df: DataFrame, group: Sequence[str], key: str, prefix: int) -> DataFrame:
+    """group, digest: SHA-256 over the digests of the sorted keys of each leading ``prefix`` characters, in order."""
+    part = F.substring(key, 1, prefix).alias("__b")
+    held = df.groupBy(*group, part).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "\n"), 256).alias("__h"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__h"))), lambda x: x["__h"]), "\n")
+    return held.groupBy(*group).agg(F.sha2(whole, 256).alias("digest"))
+
+
+def intersection(a: DataFrame, b: DataFrame, key: str, examples: int) -> DataFrame:
+    """n_a, n_b, n_both distinct keys and the first SHA-256 names of common ones, with commas between."""
+    tagged = a.select(key, F.lit(1).alias("__s")).unionAll(b.select(key, F.lit(2).alias("__s"))).where(F.col(key).isNotNull())
+    per = tagged.groupBy(key).agg(F.bool_or(F.col("__s") == 1).alias("__a"), F.bool_or(F.col("__s") == 2).alias("__b"))
+    counts = per.agg(F.count_if("__a").alias("n_a"), F.count_if("__b").alias("n_b"), F.count_if(F.col("__a") & F.col("__b")).alias("n_both"))
+    first = per.where("__a AND __b").select(F.sha2(F.col(key), 256).alias("__h")).orderBy("__h").limit(examples)
+    shown = first.agg(F.array_join(F.array_sort(F.collect_list("__h")), ",").alias("examples"))
+    return counts.join(shown).withColumn("examples", F.when(F.col("n_both") > 0, F.col("examples")))  # one row each
+
+
+def order_verdict(a: DataFrame, b: DataFrame, unit: Sequence[str], key: str, place: str) -> DataFrame:
+    """Per unit of either list: SAME_ORDER, SAME_KEYS (in another order), ONE_SIDED (one holds the other) or MISMATCH."""
+    unit = list(unit)
+    met = a.select(*unit, key, F.col(place).alias("__x")).join(b.select(*unit, key, F.col(place).alias("__y")), [*unit, key], "full_outer")
+    n, x, y = F.count(F.lit(1)), F.count("__x"), F.count("__y")
+    same = F.bool_and(F.col("__x") == F.col("__y"))
+    verdict = F.when((x == n) & (y == n), F.when(same, "SAME_ORDER").otherwise("SAME_KEYS")).when((x == n) | (y == n), "ONE_SIDED").otherwise("MISMATCH")
+    return met.groupBy(*unit).agg(verdict.alias("verdict"))

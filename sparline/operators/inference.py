@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparline.functions.ids import seed as seed_of
-from sparline.functions.scores import better_direction
+from sparline.functions.scores import better_direction, standardized_difference
 from sparline.operators.cohorts import hash_text
 from sparline.operators.numbering import numbered, running_before, values_at
 from sparline.session import cut
@@ -322,3 +322,13 @@ def rank_agreement(df: DataFrame, unit: Sequence[str], item: str, side: str, val
     met = df.groupBy(*unit, item).agg(F.max(F.when(F.col(side) == first, F.col(value))).alias("__x"), F.max(F.when(F.col(side) == second, F.col(value))).alias("__y"))
     same = met.groupBy(*unit).agg(F.bool_and(F.col("__x").isNotNull() & F.col("__y").isNotNull()).alias("__same")).where("__same").drop("__same")
     return spearman(met.join(same, unit), unit, "__x", "__y")
+
+
+def group_balance(df: DataFrame, flag: str, variables: Sequence[str], limit: float) -> DataFrame:
+    """variable, mean_1, mean_0, sd_1, sd_0, smd and whether |smd| reaches ``limit``, for rows with and without ``flag``."""
+    cells = F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("__v")) for v in variables))
+    rows = df.select(F.col(flag).alias("__f"), F.inline(cells)).where("__v IS NOT NULL AND __f IS NOT NULL")
+    one, zero = F.when(F.col("__f"), F.col("__v")), F.when(~F.col("__f"), F.col("__v"))
+    out = rows.groupBy("variable").agg(F.avg(one).alias("mean_1"), F.avg(zero).alias("mean_0"), F.stddev_pop(one).alias("sd_1"), F.stddev_pop(zero).alias("sd_0"))
+    out = out.withColumn("smd", standardized_difference(F.col("mean_1"), F.col("mean_0"), F.col("sd_1"), F.col("sd_0")))
+    return out.withColumn("unbalanced", F.abs("smd") >= limit)

@@ -47,12 +47,12 @@ def d27(spark: SparkSession, directory: str) -> DataFrame:
 @CATALOG.query(
     "d21_quantiles",
     """SELECT source, count(*) AS n, min(length(text)) AS min, max(length(text)) AS max, round(avg(length(text)), 6) AS mean, round(quantile_cont(length(text)::DOUBLE, 0.25), 6) AS p25,
-    round(quantile_cont(length(text)::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(length(text)::DOUBLE, 0.9), 6) AS p90, round(quantile_cont(length(text)::DOUBLE, 0.99), 6) AS p99
+    round(quantile_cont(length(text)::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(length(text)::DOUBLE, 0.75), 6) AS p75, round(quantile_cont(length(text)::DOUBLE, 0.9), 6) AS p90, round(quantile_cont(length(text)::DOUBLE, 0.95), 6) AS p95, round(quantile_cont(length(text)::DOUBLE, 0.99), 6) AS p99
     FROM documents WHERE text IS NOT NULL GROUP BY 1""",
 )
 def d21(spark: SparkSession, directory: str) -> DataFrame:
-    out = score_distribution(table(spark, directory, "documents").select("source", F.length("text").alias("n_")), ["source"], "n_", (0.25, 0.5, 0.9, 0.99))
-    return out.withColumns({c: F.round(c, 6) for c in ("mean", "p25", "p50", "p90", "p99")})
+    out = score_distribution(table(spark, directory, "documents").select("source", F.length("text").alias("n_")), ["source"], "n_", (0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "p25", "p50", "p75", "p90", "p95", "p99")})
 
 
 @CATALOG.query(

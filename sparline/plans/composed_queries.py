@@ -270,18 +270,18 @@ def h13(spark: SparkSession, directory: str) -> DataFrame:
 
 @CATALOG.query(
     "m05_supervised_examples",
-    """SELECT vec_id, 66 AS n_padded, 65 AS n_input, 1 AS n_supervised, label FROM embeddings""",
+    """SELECT vec_id, array_to_string(list_concat(list_transform(embedding, lambda x: floor(x * 100)::INT), [label::INT, 0]), ' ') AS padded, repeat('-100 ', 64) || label AS targets, 1 AS n_supervised FROM embeddings""",
 )
 def m05(spark: SparkSession, directory: str) -> DataFrame:
-    """Inputs and targets with one supervised position, padded to a width."""
+    """Inputs, padded to a width (m06), and targets with one supervised position (o33)."""
     tokens = F.transform("embedding", lambda x: F.floor(x * 100).cast("int"))
-    inputs, targets = structure.supervised(tokens, F.col("label"))
+    inputs, targets = structure.supervised(tokens, F.col("label").cast("int"))
+    text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), " ")
     return table(spark, directory, "embeddings").select(
-        "vec_id", F.size(structure.padded(inputs, F.lit(66), 0)).alias("n_padded"), F.size(inputs).alias("n_input"), F.size(F.filter(targets, lambda t: t != -100)).alias("n_supervised"), "label"
+        "vec_id", text(structure.padded(inputs, F.lit(66), 0)).alias("padded"), text(targets).alias("targets"), F.size(F.filter(targets, lambda t: t != -100)).alias("n_supervised")
     )
 
 
-
 @CATALOG.query(
     "c12_region_tokens",
     f"""WITH {_SEGMENTS}, {_TOKENS}, m AS (SELECT t.commit_id, t.token_index, any_value(p.line_id) AS owner FROM tok t JOIN sp p ON p.commit_id = t.commit_id AND p.line_id IS NOT NULL
