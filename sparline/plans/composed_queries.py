@@ -1,8 +1,4 @@
-"""Checks that are compositions of joins and aggregates: one SQL text serves Spark and DuckDB.
-
-Spark gets the base tables as DataFrames, DuckDB as common table expressions; Catalyst
-sees one plan through both.
-"""
+"""Checks that are compositions of joins and aggregates, with SQL over the same frames as twins."""
 
 from __future__ import annotations
 
@@ -14,9 +10,9 @@ from pyspark.sql import functions as F
 from sparline.functions import lines as lf
 from sparline.functions.ids import json_digest
 from sparline.functions.text import commit_key, split_key
-from sparline.operators import linkage, structure
+from sparline.operators import checks, linkage, structure
 from sparline.plans.audit_queries import _META, _SPLIT, _UNITS, meta, units
-from sparline.plans.base import COMMITS, HUNKS, LINES, SCORES, commits, hunks, lines, scores
+from sparline.plans.base import COMMITS, HUNKS, LINES, SCORES, commits, hunks, lines, scores, settled
 from sparline.plans.catalog import Catalog
 from sparline.plans.inference_queries import VALUES, values
 from sparline.plans.ranking_queries import METRICS, metrics
@@ -48,41 +44,41 @@ FRAMES: dict[str, tuple[Frame, str]] = {
 }
 
 
-def both(name: str, body: str, *frames: str) -> None:
-    """Register ``body`` for both engines over the named frames; {f} in it stands for frame f."""
+def twin(name: str, body: str, *frames: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Register a function of the named frames with ``body`` as its SQL, in which {f} stands for frame f."""
     ctes = ", ".join(FRAMES[f][1] for f in frames)
     duck = f"WITH {ctes} SELECT * FROM ({body.format(**{f: f for f in frames})}) AS q"
 
-    def run(spark: SparkSession, directory: str) -> DataFrame:
-        return spark.sql(body, **{f: FRAMES[f][0](spark, directory) for f in frames})
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        CATALOG.query(name, duck)(lambda spark, directory: f(*(FRAMES[x][0](spark, directory) for x in frames)))
+        return f
+
+    return add
 
-    CATALOG.query(name, duck)(run)
 
 
-both(
+@twin(
     "c21_known_hashes",
     """SELECT kind, count(*) AS n FROM (SELECT DISTINCT x.hash, CASE WHEN m.id IS NULL THEN 'unknown' ELSE 'known' END AS kind
     FROM {excluded} x LEFT JOIN (SELECT DISTINCT commit_id AS id FROM {meta}) m ON m.id = x.hash) k GROUP BY kind""",
     "excluded", "meta",
-)
-both(
+)
+def c21(excluded_: DataFrame, meta_: DataFrame) -> DataFrame:
+    return checks.known_keys(excluded_.where(F.col("hash").isNotNull()), "hash", meta_, "commit_id")
+
+
+@twin(
     "c22_upsert_sizes",
     """SELECT c.commit_id, coalesce(r.n, c.tokens) AS tokens, CASE WHEN r.n IS NULL THEN 'kept' WHEN c.tokens IS NULL THEN 'inserted' ELSE 'updated' END AS action
     FROM {commits} c LEFT JOIN (SELECT commit_id, CAST(sum(tokens) AS BIGINT) AS n FROM {lines} GROUP BY commit_id) r ON r.commit_id = c.commit_id""",
     "lines", "commits",
-)
-both(
-    "c17_occlusion_rank_agreement",
-    """SELECT commit_id, seed, max(na) AS n, round(avg(ra * rb) - avg(ra) * avg(rb), 6) AS covariance FROM (
-        SELECT a.commit_id, a.seed, a.rk AS ra, o.rk AS rb, a.n AS na, o.n AS nb, count(*) OVER (PARTITION BY a.commit_id, a.seed) AS nc
-        FROM (SELECT commit_id, seed, region_id, row_number() OVER (PARTITION BY commit_id, seed ORDER BY abs(score) DESC, region_id) AS rk, count(*) OVER (PARTITION BY commit_id, seed) AS n
-              FROM {scores} WHERE method = 'attention_last') a
-        JOIN (SELECT commit_id, seed, region_id, row_number() OVER (PARTITION BY commit_id, seed ORDER BY abs(score) DESC, region_id) AS rk, count(*) OVER (PARTITION BY commit_id, seed) AS n
-              FROM {scores} WHERE method = 'occlusion_line') o ON a.commit_id = o.commit_id AND a.seed = o.seed AND a.region_id = o.region_id) j
-    WHERE na = nb AND nb = nc GROUP BY commit_id, seed""",
-    "scores",
 )
-both(
+def c22(lines_: DataFrame, commits_: DataFrame) -> DataFrame:
+    sizes = lines_.groupBy("commit_id").agg(F.sum("tokens").cast("bigint").alias("tokens"))
+    return checks.upsert(commits_.select("commit_id", F.col("tokens").cast("bigint").alias("tokens")), sizes, ["commit_id"], "tokens")
+
+
+@twin(
     "d35_two_level_share",
     """SELECT method, change_type, round(avg(share) + 3e-9, 7) AS mean_share, count(*) AS n_commits FROM (
         SELECT commit_id, method, change_type, avg(share) AS share FROM (
@@ -91,104 +87,146 @@ both(
         GROUP BY commit_id, method, change_type) w GROUP BY method, change_type""",
     "scores",
 )
-both(
+def d35(scores_: DataFrame) -> DataFrame:
+    out = checks.two_level_share(scores_, ["commit_id", "method", "seed"], "change_type", ["commit_id"], ["method"])
+    return out.withColumn("mean_share", settled("mean_share"))
+
+
+@twin(
     "d37_stage_stats",
     """SELECT split, count(*) AS n, count_if(is_positive) AS n_positive, round(avg(CASE WHEN is_positive THEN 1.0E0 ELSE 0.0E0 END), 9) AS prevalence, count(DISTINCT project) AS n_projects,
     min(commit_id) AS first_id, max(commit_id) AS last_id FROM {commits} GROUP BY split""",
     "commits",
 )
-both(
+def d37(commits_: DataFrame) -> DataFrame:
+    positive = F.coalesce("is_positive", F.lit(False))
+    return commits_.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("n_positive"), F.round(F.avg(positive.cast("double")), 9).alias("prevalence"), F.count_distinct("project").alias("n_projects"),
+        F.min("commit_id").alias("first_id"), F.max("commit_id").alias("last_id"),
+    )
+
+
+@twin(
     "e11_label_multiplicity",
     """SELECT l.line_id, CASE WHEN l.occ < coalesce(p.k, 0) THEN 1 ELSE 0 END AS label FROM (
         SELECT commit_id, line_id, raw_text, row_number() OVER (PARTITION BY commit_id, raw_text ORDER BY position) - 1 AS occ FROM {lines} WHERE change_type = 'added') l
     LEFT JOIN (SELECT commit_id, raw, count(*) AS k FROM {policy} WHERE label = 1 GROUP BY commit_id, raw) p ON p.commit_id = l.commit_id AND p.raw = l.raw_text""",
     "lines", "policy",
-)
-both(
+)
+def e11(lines_: DataFrame, policy_: DataFrame) -> DataFrame:
+    added = lines_.where("change_type = 'added'").select("commit_id", "line_id", "position", F.col("raw_text").alias("raw"))
+    return checks.label_multiplicity(added, policy_.where("label = 1").select("commit_id", "raw"), ["commit_id"], "raw", "position").select("line_id", "label")
+
+
+@twin(
     "e20_file_ordinals",
     """SELECT commit_id, path, CAST(row_number() OVER (PARTITION BY commit_id ORDER BY first_at, path) - 1 AS INT) AS file_ordinal, n_hunks FROM (
         SELECT commit_id, path, min(position) AS first_at, count(DISTINCT hunk_ordinal) AS n_hunks FROM {lines} WHERE position IS NOT NULL GROUP BY commit_id, path) f""",
     "lines",
 )
-both(
-    "g05_unseen_by_split",
-    """SELECT x.split, count(DISTINCT x.hash) AS n, bool_and(coalesce(x.our_label, 0) = 0) AS all_negative FROM {excluded} x LEFT JOIN (SELECT DISTINCT commit_id AS id FROM {meta}) m
-    ON m.id = x.hash WHERE m.id IS NULL GROUP BY x.split""",
-    "excluded", "meta",
-)
-both(
-    "i15_estimand_difference",
-    """SELECT count(*) AS n, round(avg(abs(x - y)), 7) AS mean_abs, round(max(abs(x - y)), 7) AS max_abs, round(avg(CASE WHEN sign(x) = sign(y) THEN 1.0E0 ELSE 0.0E0 END), 9) AS sign_agreement FROM (
-        SELECT commit_id, avg(CASE WHEN method = 'grad_x_input' THEN value END) - avg(CASE WHEN method = 'gradient' THEN value END) AS x,
-            avg(CASE WHEN method = 'integrated_gradients' THEN value END) - avg(CASE WHEN method = 'gradient' THEN value END) AS y FROM {v} GROUP BY commit_id) d
-    WHERE x IS NOT NULL AND y IS NOT NULL""",
-    "v",
-)
-both(
-    "audit_p02_chronology_flags",
-    """SELECT project, max(CASE WHEN split = 'train' THEN author_date END) < min(CASE WHEN split = 'test' THEN author_date END) AS ordered, count(author_date) AS n_known, count(*) AS n FROM {meta} GROUP BY project""",
-    "meta",
-)
-both(
+def e20(lines_: DataFrame) -> DataFrame:
+    return checks.file_ordinals(lines_, "commit_id", "path", "position", "hunk_ordinal")
+
+
+@twin(
     "audit_p04_coverage",
     """SELECT c.split, count(*) AS n, count(l.commit_id) AS n_represented, count_if(coalesce(l.added, 0) > 0) AS n_added, count_if(coalesce(l.positive, 0) > 0) AS n_positive,
     count_if(coalesce(l.added, 0) > 0 AND coalesce(l.positive, 0) = 0) AS n_added_only FROM {commits} c LEFT JOIN (
         SELECT commit_id, count_if(change_type = 'added') AS added, count_if(status = 'POSITIVE') AS positive FROM {lines} GROUP BY commit_id) l ON l.commit_id = c.commit_id GROUP BY c.split""",
     "lines", "commits",
-)
-both(
+)
+def p04(lines_: DataFrame, commits_: DataFrame) -> DataFrame:
+    per = checks.tallies(lines_, "commit_id", {"a": F.col("change_type") == "added", "p": F.col("status") == "POSITIVE"}, commits_.select("commit_id", "split"))
+    a, p = F.col("a") > 0, F.col("p") > 0
+    return per.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("__there").alias("n_represented"), F.count_if(a).alias("n_added"), F.count_if(p).alias("n_positive"), F.count_if(a & ~p).alias("n_added_only")
+    )
+
+
+@twin(
     "audit_p07_zero_changes",
     """SELECT c.is_positive, count_if(coalesce(l.added, 0) = 0) AS zero_added, count_if(coalesce(l.deleted, 0) = 0) AS zero_deleted, count_if(coalesce(l.added, 0) = 0 AND coalesce(l.deleted, 0) = 0) AS zero_both, count(*) AS n
     FROM {commits} c LEFT JOIN (SELECT commit_id, count_if(change_type = 'added') AS added, count_if(change_type = 'deleted') AS deleted FROM {lines} GROUP BY commit_id) l ON l.commit_id = c.commit_id GROUP BY c.is_positive""",
     "lines", "commits",
-)
-both(
+)
+def p07(lines_: DataFrame, commits_: DataFrame) -> DataFrame:
+    per = checks.tallies(lines_, "commit_id", {"a": F.col("change_type") == "added", "d": F.col("change_type") == "deleted"}, commits_.select("commit_id", "is_positive"))
+    a, d = F.col("a") == 0, F.col("d") == 0
+    return per.groupBy("is_positive").agg(F.count_if(a).alias("zero_added"), F.count_if(d).alias("zero_deleted"), F.count_if(a & d).alias("zero_both"), F.count(F.lit(1)).alias("n"))
+
+
+@twin(
     "audit_p12_count_agreement",
     """SELECT count(*) AS n, count_if(a.n = p.n) AS n_equal, count_if(a.n > p.n) AS n_more FROM (SELECT commit_id, count(*) AS n FROM {lines} WHERE change_type = 'added' GROUP BY commit_id) a
     JOIN (SELECT commit_id, count(*) AS n FROM {policy} GROUP BY commit_id) p ON p.commit_id = a.commit_id""",
     "lines", "policy",
-)
-both(
+)
+def p12(lines_: DataFrame, policy_: DataFrame) -> DataFrame:
+    return checks.count_agreement(lines_.where("change_type = 'added'"), policy_, "commit_id")
+
+
+@twin(
     "audit_p15_commit_classes",
     """SELECT class, count(*) AS n FROM (SELECT commit_id, CASE WHEN count_if(label = 1) = 0 THEN 'NO_POSITIVE' WHEN bool_and(label <> 1 OR label IS NULL OR mapped) THEN 'COMPLETE' WHEN bool_or(label = 1 AND mapped) THEN 'PARTIAL' ELSE 'NONE' END AS class
         FROM (SELECT commit_id, label, new_lineno IS NOT NULL AS mapped FROM {b}) k GROUP BY commit_id) g GROUP BY class""",
     "b",
 )
-both(
+def p15(bridge_: DataFrame) -> DataFrame:
+    return checks.mapping_classes(bridge_, "commit_id", F.col("label") == 1, F.col("new_lineno").isNotNull())
+
+
+@twin(
     "q06_commit_profile",
     """SELECT l.commit_id, count(*) AS n_lines, count_if(l.status = 'POSITIVE') AS n_positive, count(DISTINCT l.path) AS n_files, count(DISTINCT concat(l.path, '#', CAST(l.hunk_ordinal AS STRING))) AS n_hunks,
     round(count_if(l.status = 'POSITIVE') / count(*), 9) AS density, max(c.project) AS project FROM {lines} l LEFT JOIN {commits} c ON c.commit_id = l.commit_id GROUP BY l.commit_id""",
     "lines", "commits",
-)
-both(
+)
+def q06(lines_: DataFrame, commits_: DataFrame) -> DataFrame:
+    out = checks.unit_profile(lines_, "commit_id", F.col("status") == "POSITIVE").withColumn("density", F.round("density", 9))
+    return out.join(commits_.select("commit_id", "project"), "commit_id", "left")
+
+
+@twin(
     "q10_project_failures",
     """SELECT c.project, count(*) AS n_commits, count_if(u.done < 18) AS n_incomplete FROM (SELECT commit_id, count_if(code = 'OK') AS done FROM {units} GROUP BY commit_id) u
     JOIN {commits} c ON c.commit_id = u.commit_id GROUP BY c.project""",
     "units", "commits",
-)
-both(
+)
+def q10(units_: DataFrame, commits_: DataFrame) -> DataFrame:
+    return checks.incomplete_units(units_, "commit_id", F.col("code") == "OK", 18, commits_, "project")
+
+
+@twin(
     "q11_largest_difference",
     """SELECT a.seed, count(*) AS n, round(max(abs(a.score - x.score)), 9) AS largest, count_if(abs(a.score - x.score) <= 0.01) AS n_within FROM {scores} a JOIN {scores} x
     ON a.commit_id = x.commit_id AND a.seed = x.seed AND a.region_id = x.region_id WHERE a.method = 'attention_last' AND x.method = 'attention_last4' GROUP BY a.seed""",
     "scores",
 )
-both(
+def q11(scores_: DataFrame) -> DataFrame:
+    out = checks.largest_difference(scores_, ["commit_id", "seed", "region_id"], "method", "attention_last", "attention_last4", "score", ["seed"], 0.01)
+    return out.withColumn("largest", F.round("largest", 9))
+
+
+@twin(
     "b10_add_first_degenerate",
     "SELECT degenerate, count(*) AS n FROM (SELECT commit_id, bool_and(change_type = 'added') AS degenerate FROM {lines} WHERE change_type <> 'context' GROUP BY commit_id) k GROUP BY degenerate",
     "lines",
 )
-both(
+def b10(lines_: DataFrame) -> DataFrame:
+    per = checks.tallies(lines_.where("change_type <> 'context'"), "commit_id", {"a": F.col("change_type") != "added"}, lines_.where("change_type <> 'context'").select("commit_id").distinct())
+    return per.groupBy((F.col("a") == 0).alias("degenerate")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@twin(
     "m09_metric_rows",
     """SELECT method, metric, count(value) AS n, round(avg(value), 9) AS mean FROM (SELECT method, 'recall_at_effort' AS metric, recall_at_effort AS value FROM {metrics}
     UNION ALL SELECT method, 'effort_at_recall', effort_at_recall FROM {metrics} UNION ALL SELECT method, 'ifa', CAST(ifa AS DOUBLE) FROM {metrics}) u GROUP BY method, metric""",
     "metrics",
 )
-both(
-    "n09_cohort_sizes",
-    """SELECT c.split, count(*) AS n, count_if(c.is_positive) AS n_positive, count_if(c.is_positive AND coalesce(l.np, 0) > 0) AS n_localizable, count_if(NOT c.is_positive AND coalesce(l.np, 0) = 0) AS n_clean
-    FROM {commits} c LEFT JOIN (SELECT commit_id, count_if(status = 'POSITIVE') AS np FROM {lines} GROUP BY commit_id) l ON l.commit_id = c.commit_id GROUP BY c.split""",
-    "lines", "commits",
-)
+def m09(metrics_: DataFrame) -> DataFrame:
+    out = checks.long_metrics(metrics_, ["method"], ["recall_at_effort", "effort_at_recall", "ifa"])
+    return out.withColumn("mean", F.round("mean", 9))
+
 
 
 @CATALOG.query(

@@ -143,13 +143,14 @@ def i10(spark: SparkSession, directory: str) -> DataFrame:
 @CATALOG.query(
     "d38_rho_summary",
     f"""WITH {_LENGTHS}, k AS (SELECT *, {_ranks("x", U, "rx")}, {_ranks("y", U, "ry")} FROM sl), r AS (SELECT {U}, {_CORR.format(n=2)} FROM k GROUP BY ALL)
-    SELECT method, count(rho) AS n, round(avg(rho), 6) AS mean, round(quantile_cont(rho, 0.5), 6) AS median, round(avg((rho > 0.5)::INT::DOUBLE), 9) AS share_above
+    SELECT method, count(rho) AS n, round(avg(rho), 6) AS mean, round(quantile_cont(rho, 0.5), 6) AS median, round(quantile_cont(rho, 0.75) - quantile_cont(rho, 0.25), 6) AS iqr, round(avg((rho > 0.5)::INT::DOUBLE), 9) AS share_above
     FROM r WHERE rho IS NOT NULL GROUP BY 1""",
 )
 def d38(spark: SparkSession, directory: str) -> DataFrame:
     rho = i10(spark, directory).where(F.col("rho").isNotNull())
     return rho.groupBy("method").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("rho"), 6).alias("mean"), F.round(F.percentile("rho", F.lit(0.5)), 6).alias("median"),
+        F.round(F.percentile("rho", F.lit(0.75)) - F.percentile("rho", F.lit(0.25)), 6).alias("iqr"),
         F.round(F.avg((F.col("rho") > 0.5).cast("double")), 9).alias("share_above"),
     )
 
