@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from sparline.functions.text import token_count
 from sparline.session import cut
 
+#: The largest capacity: the driver plans with bit sets of so many lengths, which it sums up anew for every pattern.
+MOST = 1 << 14
 #: Items of one length that one task ranks; a length with more is ranked in that many buckets.
 RANK_ROWS = 100_000
 #: Rank buckets that are broadcast, about 3 MB; beyond, their offsets are joined by shuffle.
@@ -172,8 +174,8 @@ def pack(df: DataFrame, ident: str, text: str, capacity: int) -> DataFrame:
     room and are put into container 0. Repeated rows and null ids are items of their own; an
     empty table gives no rows. Other columns are not read.
     """
-    if capacity < 1 or capacity >= 1 << 20:
-        raise ValueError("capacity must be from 1 to 2**20 - 1")
+    if not 1 <= capacity <= MOST:
+        raise ValueError(f"capacity must be from 1 to {MOST}")
     sized = cut(df.select(F.col(ident).alias("__id"), token_count(F.col(text)).alias("__n")))
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("__n") / capacity)).cast("int")
     pieces = sized.withColumn("n_pieces", n_pieces).select(
