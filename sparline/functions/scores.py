@@ -90,3 +90,12 @@ def score_from_logits(logit_0: Column, logit_1: Column, space: str = "logit_cont
     if space == "probability":
         return probability(logit_0, logit_1)
     raise ValueError(space)
+
+
+def completeness_by_mode(error_abs: Column, error_rel: Column, delta: Column, mode: str = "COMBINED", tolerance: float = 0.05) -> Column:
+    """Whether attributions add up: by the larger of an absolute and a relative limit (COMBINED) or by the relative error alone (RELATIVE)."""
+    if mode == "COMBINED":
+        return completeness_holds(error_abs, delta, factor=tolerance)
+    if mode == "RELATIVE":
+        return error_rel <= tolerance
+    raise ValueError(mode)

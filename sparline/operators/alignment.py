@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparline.functions.lines import text_variants
-from sparline.session import shuffle_width
+from sparline.session import cut, shuffle_width
 
 
 def letters(text: Column) -> Column:
@@ -180,6 +180,7 @@ def align(left: DataFrame, right: DataFrame, unit: Sequence[str], prefix: bool =
     settled = _in_buckets(named, b.join(named.select(*cell).distinct(), cell, "left_semi"), unit, cell, _settler(prefix))
     settled = settled.unionByName(a.where(F.col("cell_").isNull()).select(*unit, "place", F.lit(None).cast("bigint").alias("right_place"), F.lit("MISSING").alias("state")))
 
+    settled = cut(settled)
     at = F.when(F.col("right_place").isNotNull(), F.struct("place", "right_place"))
     w = Window.partitionBy(*unit).orderBy("place")
     ends = settled.withColumns({

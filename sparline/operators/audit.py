@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -135,3 +136,19 @@ def order_verdict(a: DataFrame, b: DataFrame, unit: Sequence[str], key: str, pla
     same = F.bool_and(F.col("__x") == F.col("__y"))
     verdict = F.when((x == n) & (y == n), F.when(same, "SAME_ORDER").otherwise("SAME_KEYS")).when((x == n) | (y == n), "ONE_SIDED").otherwise("MISMATCH")
     return met.groupBy(*unit).agg(verdict.alias("verdict"))
+
+
+#: What a column is for, by its name; the first pattern that fits counts.
+ROLES = (("TIME", r"(_at|_date|^ts)$"), ("LABEL", r"^(is_|label|y$)|_label$"), ("ID", r"(_id|hash)$|^id$"), ("GROUP", r"^(project|split|source|lang)$"))
+
+
+def column_roles(df: DataFrame) -> DataFrame:
+    """column, role, n_null, n_distinct of every column, in one pass over the table; columns of no known name are OTHER."""
+
+    def role(name: str) -> str:
+        return next((r for r, pattern in ROLES if re.search(pattern, name)), "OTHER")
+
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.lit(role(c)).alias("role"), F.count_if(F.col(c).isNull()).alias("n_null"), F.count_distinct(F.col(c)).alias("n_distinct")) for c in df.columns
+    ]
+    return df.agg(F.array(*cells).alias("__c")).select(F.inline("__c"))

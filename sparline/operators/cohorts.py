@@ -104,7 +104,8 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, key: str, sa
     sizes = sizes.withColumns({"__exact": exact, "__base": F.floor(exact)})
     more = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("__exact") - F.col("__base"), 9)), *strata)) <= n - F.sum("__base").over(Window.partitionBy())
     quota = sizes.select(*strata, (F.col("__base") + more.cast("int")).alias("quota"))
-    return hashed_sample_per_group(df.join(quota, list(strata)), strata, F.col("quota"), key, salt)
+    few = hashed_sample_per_group(df, strata, F.lit(n), key, salt)  # no stratum gets more, so what is sorted stays small
+    return few.join(quota, list(strata)).where(F.col("place") <= F.col("quota"))
 
 
 def covering_sample(df: DataFrame, label: str, project: str, n: int, key: str, salt: str) -> DataFrame:

@@ -72,3 +72,8 @@ def code_lines(df: DataFrame, unit: Sequence[str], order: str = "ordinal") -> Da
     """Changed lines of code files without comments and blanks, counted after the filter."""
     kept = df.where(is_code_file(F.col("path")) & ~is_comment_or_blank(F.col("raw_text")) & (normalize_line(F.col("raw_text")) != "") & (F.col("change_type") != "context"))
     return occurrences(kept, unit, order)
+
+
+def added_code(diffs: DataFrame, ident: str, text: str, suffix: str = ".java") -> DataFrame:
+    """The added lines of code files in the diffs of a text column, as ``parse_diff`` gives them."""
+    return parse_diff(diffs, ident, text).where((F.col("change_type") == "added") & F.col("path").endswith(suffix))

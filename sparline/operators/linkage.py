@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparline.functions.lines import signatures, text_variants
+from sparline.session import cut
 
 
 def null_safe_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -88,8 +89,9 @@ def resolve_paths(left: DataFrame, right: DataFrame, unit: Sequence[str], left_p
         parts = F.split(c, "/")
         return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
 
-    a = left.select(*unit, F.col(left_path).alias("__l")).where(F.col("__l").isNotNull()).distinct().withColumn("__c", clean("__l"))
-    b = right.select(*unit, F.col(right_path).alias("__r")).where(F.col("__r").isNotNull()).distinct().withColumn("__d", clean("__r"))
+    # Distinct paths are few against the lines that they come from, and are read several times.
+    a = cut(left.select(*unit, F.col(left_path).alias("__l")).where(F.col("__l").isNotNull()).distinct().withColumn("__c", clean("__l")))
+    b = cut(right.select(*unit, F.col(right_path).alias("__r")).where(F.col("__r").isNotNull()).distinct().withColumn("__d", clean("__r")))
     whole = a.join(b.withColumnRenamed("__d", "__c"), [*unit, "__c"])
     long = a.join(b.withColumn("__c", F.explode(tails(F.col("__d")))), [*unit, "__c"]).select(*unit, "__l", "__r")
     short = a.withColumn("__c", F.explode(tails(F.col("__c")))).join(b.withColumnRenamed("__d", "__c"), [*unit, "__c"]).select(*unit, "__l", "__r")

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparline.functions import lines as lf, scores as sf
-from sparline.operators import audit, faithfulness, inference, structure
-from sparline.plans.audit_queries import _META, meta
+from sparline.operators import audit, diffs, faithfulness, inference, kernels, polarity, ranking, runs, structure
+from sparline.plans.audit_queries import _META, _UNITS, meta, units
 from sparline.plans.base import COMMITS, HUNKS, LINES, SCORES, UNIT, commits, hunks, lines, scores, settled, settled_sql
 from sparline.plans.catalog import Catalog
 from sparline.plans.composed_queries import _EXCLUDED, excluded
-from sparline.plans.ranking_queries import _EFFECTS, FRACTIONS, METRICS, effects, metrics
-from sparline.plans.text_queries import _SEGMENTS, _TOKENS, _collapse, _mask, _norm, _punct, parts
+from sparline.plans.perturbation_queries import _W, _Z, _Z0
+from sparline.plans.ranking_queries import _EFFECTS, _POLAR, FRACTIONS, METRICS, effects, metrics
+from sparline.plans.text_queries import _DIFF, _SEGMENTS, _TOKENS, _collapse, _mask, _norm, _punct, parts
 from sparline.session import cut
 from sparline.sources.parquet import table
 
@@ -256,3 +257,68 @@ def h03(spark: SparkSession, directory: str) -> DataFrame:
     t = lines(spark, directory).where(F.col("raw_text").isNotNull()).select(F.col("raw_text").alias("x")).distinct()
     digest = lambda a: F.sha2(F.array_join(F.array_sort(a), "\n"), 256)
     return t.select("x", digest(lf.text_variants(F.col("x"))).alias("variants"), digest(lf.signatures(F.col("x"))).alias("signatures"))
+
+
+@CATALOG.query("k30_added_code", f"SELECT * FROM ({_DIFF}) q WHERE change_type = 'added' AND path LIKE '%.java'")
+def k30(spark: SparkSession, directory: str) -> DataFrame:
+    """The added lines of Java files in all diffs inside the documents."""
+    return diffs.added_code(table(spark, directory, "documents"), "doc_id", "text")
+
+
+@CATALOG.query(
+    "o36_completeness_modes",
+    f"""SELECT k AS mode, count(*) AS n, count(*) AS n_complete FROM embeddings, (VALUES ('COMBINED'), ('RELATIVE')) AS v(k) GROUP BY 1""",
+)
+def o36(spark: SparkSession, directory: str) -> DataFrame:
+    """Path integrals with enough steps add up in either mode."""
+    start = kernels.baseline(F.col("embedding"), "ZERO_EMBEDDING")
+    out = kernels.path_gradient(table(spark, directory, "embeddings"), "vec_id", "embedding", start, _W, 20)
+    delta = F.col("f_input") - F.col("f_baseline")
+    cells = F.array(*(F.struct(F.lit(m).alias("mode"), sf.completeness_by_mode(F.col("e_abs"), F.col("e_rel"), delta, m).alias("ok")) for m in ("COMBINED", "RELATIVE")))
+    return out.select(F.inline(cells)).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_complete"))
+
+
+@CATALOG.query(
+    "n15_unit_results",
+    f"""WITH {METRICS}, q AS (WITH {_POLAR} SELECT commit_id, method, seed, count_if(polarity = 'POSITIVE') AS n_up, count_if(polarity = 'NEGATIVE') AS n_down FROM c GROUP BY 1, 2, 3)
+    SELECT commit_id, method, seed, state, ifa::BIGINT AS ifa, round(recall_at_effort, 9) AS recall_at_effort, n_up, n_down FROM metrics JOIN q USING (commit_id, method, seed)""",
+)
+def n15(spark: SparkSession, directory: str) -> DataFrame:
+    """Every unit with its ranking metrics and the signs of its scores, as a run writes it."""
+    rows = scores(spark, directory)
+    signs = polarity.classify(rows, UNIT).groupBy(*UNIT).agg(F.count_if(F.col("polarity") == "POSITIVE").alias("n_up"), F.count_if(F.col("polarity") == "NEGATIVE").alias("n_down"))
+    m = metrics(spark, directory).select(*UNIT, "state", F.col("ifa").cast("bigint").alias("ifa"), F.round("recall_at_effort", 9).alias("recall_at_effort"))
+    return m.join(signs, UNIT)
+
+
+@CATALOG.query(
+    "n17_run_summary",
+    f"""WITH {_UNITS}, k AS (SELECT method, commit_id, count_if(code = 'OK') AS ok, count(*) AS n FROM units GROUP BY 1, 2) SELECT method, sum(n)::BIGINT AS n_units, sum(ok)::BIGINT AS n_ok, count_if(ok = 3) AS n_complete, round(sum(ok) / sum(n), 9) AS share_ok FROM k GROUP BY 1""",
+)
+def n17(spark: SparkSession, directory: str) -> DataFrame:
+    """Units, faultless ones and commits with all seeds, per method."""
+    per = units(spark, directory).groupBy("method", "commit_id").agg(F.count_if(F.col("code") == "OK").alias("ok"), F.count(F.lit(1)).alias("n"))
+    out = per.groupBy("method").agg(F.sum("n").alias("n_units"), F.sum("ok").alias("n_ok"), F.count_if(F.col("ok") == 3).alias("n_complete"))
+    return out.withColumn("share_ok", F.round(F.col("n_ok") / F.col("n_units"), 9))
+
+
+@CATALOG.query(
+    "o11_changes_profile",
+    f"""WITH {_META} SELECT split, count(*) AS n, count_if(message IS NULL) AS n_null, count_if(message = '') AS n_empty, count_if(is_positive) AS n_positive, count(DISTINCT sha256(message)) AS n_contents, round(quantile_cont(length(message), 0.5), 6) AS median_length, max(length(message)) AS max_length FROM meta GROUP BY 1""",
+)
+def o11(spark: SparkSession, directory: str) -> DataFrame:
+    """Labels, null and empty messages, contents and lengths per split."""
+    m = meta(spark, directory)
+    n = F.length("message")
+    return m.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("message").isNull()).alias("n_null"), F.count_if(F.col("message") == "").alias("n_empty"), F.count_if("is_positive").alias("n_positive"),
+        F.count_distinct(F.sha2("message", 256)).alias("n_contents"), F.round(F.percentile(n, F.lit(0.5)), 6).alias("median_length"), F.max(n).alias("max_length"),
+    )
+
+
+_ROLES = {"commit_id": "ID", "project": "GROUP", "visible_token_count": "OTHER", "split": "GROUP", "is_positive": "LABEL", "commit_message": "OTHER", "author_date": "TIME", "ingested_at": "TIME", "removed_at": "TIME"}
+
+
+@CATALOG.query("o12_column_roles", " UNION ALL ".join(f"SELECT '{c}' AS column, '{r}' AS role, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct FROM commit_meta" for c, r in _ROLES.items()))
+def o12(spark: SparkSession, directory: str) -> DataFrame:
+    return audit.column_roles(table(spark, directory, "commit_meta"))
