@@ -110,6 +110,7 @@ def test_offsets_do_not_depend_on_their_groups(spark, monkeypatch):
     run = lambda: sorted(map(tuple, commit_pieces(rows(spark, hunks), 30, 5).collect()))
     a = run()
     monkeypatch.setattr(pieces, "ORDINALS", 2)
+    monkeypatch.setattr(pieces, "BROADCAST_COMMITS", 0)
     assert run() == a
 
 
