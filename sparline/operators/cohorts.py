@@ -6,11 +6,12 @@ members: commit_id, project, tokens, split, is_positive.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,33 +147,64 @@ def covering_sample(df: DataFrame, label: str, project: str, n: int, key: str, s
     return spark.createDataFrame(out, known.schema)
 
 
+#: Cells of a block of draws that are made at once.
+BLOCK_CELLS = 1 << 20
+
+
+def _draws(df: DataFrame, unit: Sequence[str], constants: Sequence[str], trials: int, salt: int, sizes: Callable[..., tuple[np.ndarray, np.ndarray]], close: float) -> DataFrame:
+    """unit, region_ids, total_tokens of the best of ``trials`` seeded random orders of each unit's regions.
+
+    ``sizes`` gives, for the running token sums of a block of orders and the unit's
+    constants, how many regions each order takes and how far it is off; one that is off by
+    ``close`` or less ends the search. A unit's regions come to one row, in order of
+    region_id, so the draws don't depend on partitions.
+    """
+    unit = list(unit)
+    fixed = [F.max(c).cast("bigint").alias(c) for c in constants]
+    held = df.groupBy(*unit).agg(F.sort_array(F.collect_list(F.struct("region_id", F.col("tokens").cast("bigint").alias("tokens")))).alias("__r"), *fixed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            regions = b.column("__r")
+            at = regions.offsets.to_numpy() - regions.offsets[0].as_py() if len(regions) else np.zeros(1, np.int64)
+            flat = regions.flatten()
+            names, all_tokens = flat.field("region_id"), flat.field("tokens").to_numpy()
+            values = [b.column(c).to_numpy() for c in constants]
+            chosen, totals = [], []
+            for i, key in enumerate(zip(*(b.column(u).to_pylist() for u in unit))):
+                tokens = all_tokens[at[i] : at[i + 1]]
+                rng = np.random.default_rng([salt, *(abs(hash_text(str(k))) for k in key)])
+                best, far, done = np.zeros(0, np.int64), np.inf, 0
+                while done < trials and far > close:
+                    size = max(1, min(32, trials - done, BLOCK_CELLS // len(tokens)))
+                    order = rng.random((size, len(tokens))).argsort(axis=1)
+                    k, off = sizes(tokens[order].cumsum(axis=1), *(v[i] for v in values))
+                    first = int(np.argmax(off <= close)) if (off <= close).any() else int(off.argmin())
+                    if off[first] < far:
+                        best, far = order[first, : k[first]], off[first]
+                    done += size
+                chosen.append(names.take(pa.array(np.sort(best) + at[i])))
+                totals.append(int(tokens[best].sum()))
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, chosen)]), pa.int32()), pa.concat_arrays(chosen) if chosen else pa.array([], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(b.column(u) for u in unit), ids, pa.array(totals, pa.int64())], [*unit, "region_ids", "total_tokens"])
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{u} {kinds[u]}" for u in unit) + ", region_ids array<string>, total_tokens bigint"
+    return held.mapInArrow(run, schema)
+
+
 def token_matched_draws(df: DataFrame, unit: Sequence[str], target: str, trials: int, salt: int = 0) -> DataFrame:
     """Per unit the random set of regions (region_id, tokens) nearest in tokens to ``target`` (a column constant in the unit).
 
-    The best of ``trials`` seeded prefixes, as many as it takes to reach the target; an
+    The best of ``trials`` seeded prefixes that reach the target (or hold all there is); an
     exact hit ends the search. unit, region_ids, total_tokens.
     """
-    unit = list(unit)
 
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("region_id")
-        goal, tokens, ids = int(pdf[target].iloc[0]), pdf["tokens"].to_numpy(), pdf["region_id"].to_numpy()
-        rng = np.random.default_rng([salt, *(abs(hash_text(str(k))) for k in key)])
-        best: tuple[int, np.ndarray] | None = None
-        for _ in range(trials):
-            order = rng.permutation(len(ids))
-            run = np.cumsum(tokens[order])
-            k = min(int(np.searchsorted(run, goal)) + 1, len(ids))
-            if best is None or abs(run[k - 1] - goal) < abs(best[0] - goal):
-                best = (int(run[k - 1]), order[:k])
-            if best and best[0] == goal:
-                break
-        total, chosen = best or (0, np.zeros(0, int))
-        return pd.DataFrame([(*key, sorted(ids[chosen]), total)], columns=[*unit, "region_ids", "total_tokens"])
+    def sizes(run: np.ndarray, goal: int) -> tuple[np.ndarray, np.ndarray]:
+        k = np.minimum((run < goal).sum(axis=1), run.shape[1] - 1)
+        return k + 1, np.abs(run[np.arange(len(run)), k] - goal)
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{u} {kinds[u]}" for u in unit) + ", region_ids array<string>, total_tokens bigint"
-    return df.groupBy(*unit).applyInPandas(draw, schema)
+    return _draws(df, unit, [target], trials, salt, sizes, 0)
 
 
 def hash_text(text: str) -> int:
@@ -210,27 +242,12 @@ def length_matched_draws(df: DataFrame, unit: Sequence[str], count: str, target:
     The best of ``trials`` seeded draws by relative distance; one within ``tolerance`` ends
     the search. unit, region_ids, total_tokens.
     """
-    unit = list(unit)
 
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("region_id")
-        goal, k = int(pdf[target].iloc[0]), min(int(pdf[count].iloc[0]), len(pdf))
-        tokens, names = pdf["tokens"].to_numpy(), pdf["region_id"].to_numpy()
-        rng = np.random.default_rng([salt, *(abs(hash_text(str(x))) for x in key)])
-        best: tuple[float, np.ndarray] | None = None
-        for _ in range(trials):
-            at = rng.permutation(len(names))[:k]
-            far = abs(int(tokens[at].sum()) - goal) / max(1, goal)
-            if best is None or far < best[0]:
-                best = (far, at)
-            if far <= tolerance:
-                break
-        at = best[1] if best else np.zeros(0, int)
-        return pd.DataFrame([(*key, sorted(names[at]), int(tokens[at].sum()))], columns=[*unit, "region_ids", "total_tokens"])
+    def sizes(run: np.ndarray, k: int, goal: int) -> tuple[np.ndarray, np.ndarray]:
+        k = min(int(k), run.shape[1])
+        return np.full(len(run), k), np.abs(run[:, k - 1] - goal) / max(1, goal)
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{u} {kinds[u]}" for u in unit) + ", region_ids array<string>, total_tokens bigint"
-    return df.groupBy(*unit).applyInPandas(draw, schema)
+    return _draws(df, unit, [count, target], trials, salt, sizes, tolerance)
 
 
 def bucket_examples(df: DataFrame, size: str, limits: dict[str, int], rest: str, n: int, key: str = "commit_id") -> DataFrame:
