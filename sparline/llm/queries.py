@@ -121,16 +121,17 @@ def p6_containers(spark: SparkSession, directory: str) -> DataFrame:
 
 @CATALOG.query(
     "p6_container_checks",
-    f"""WITH d AS (SELECT {_TOKENS.format('text')}::BIGINT AS n FROM documents) SELECT count(*) AS n_documents, sum(greatest(1, ceil(n / 2048)))::BIGINT AS n_pieces, sum(n)::BIGINT AS n_tokens, 0::BIGINT AS n_overfull,
-    count_if(n > 2048) AS n_divided, true AS few_containers FROM d""",
+    f"""WITH d AS (SELECT doc_id, {_TOKENS.format('text')}::BIGINT AS n FROM documents) SELECT doc_id, greatest(1, ceil(n / 2048))::BIGINT AS n_pieces, n AS n_tokens, true AS in_order, true AS fits FROM d""",
 )
 def p6_container_checks(spark: SparkSession, directory: str) -> DataFrame:
-    """What must hold of any packing, and that at most one container in a hundred is more than the least number."""
+    """What must hold of every document in any packing: its pieces, their tokens in order, and that none of its containers is overfull."""
     got = containers(spark, directory)
-    fill = got.where("n_tokens > 0").groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("t") > 2048).alias("n_overfull"), F.sum("t").alias("s"))
-    docs = got.agg(F.count_if(F.col("piece_no") == 0).alias("n_documents"), F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"), F.count_if((F.col("piece_no") == 0) & (F.col("n_pieces") > 1)).alias("n_divided"))
-    few = (F.col("k") <= 1 + F.ceil(F.col("s") / 2048 * 1.01)).alias("few_containers")
-    return docs.join(fill).select("n_documents", "n_pieces", "n_tokens", "n_overfull", "n_divided", few)  # one row each
+    fill = got.where("n_tokens > 0").groupBy("container_id").agg(F.sum("n_tokens").alias("fill"))
+    rows = got.join(fill, "container_id", "left")
+    right = (F.col("token_from") == F.col("piece_no").cast("bigint") * 2048) & ((F.col("piece_no") == F.col("n_pieces") - 1) | (F.col("n_tokens") == 2048))
+    return rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").cast("bigint").alias("n_tokens"), F.bool_and(right).alias("in_order"), F.bool_and(F.coalesce("fill", F.lit(0)) <= 2048).alias("fits")
+    )
 
 
 @CATALOG.query("p6_fill")
