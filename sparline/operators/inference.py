@@ -73,17 +73,14 @@ def _ranked_magnitudes(diffs: DataFrame, group: Sequence[str], value: str) -> Da
     return running_before(per, group, "__m", "__t", "__before").withColumn("__r", F.col("__before") + (F.col("__t") + 1) / 2).drop("__before")
 
 
-def signed_rank(diffs: DataFrame, group: Sequence[str] = (), value: str = "diff") -> DataFrame:
-    """Wilcoxon's signed-rank test with Pratt's zeros and the normal approximation, per group.
-
-    n, n_zero, r_plus, r_minus, statistic, z, p_value and state: OK, or ALL_ZERO with
-    statistic 0 and p 1, or EMPTY with null results for no difference at all, ungrouped.
-    Null differences are left out; a group without any is absent.
-    """
+def signed_rank_report(diffs: DataFrame, group: Sequence[str] = (), value: str = "diff") -> DataFrame:
+    """``signed_rank`` and ``rank_biserial`` from the same ranks: without zeros every rank is less by their number."""
     group = list(group)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     out = _ranked_magnitudes(diffs, group, value).groupBy(*group).agg(
-        F.coalesce(F.sum("__t"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("__m") == 0, F.col("__t"))), F.lit(0)).alias("n_zero"), F.sum(F.col("__r") * F.col("__up")).alias("r_plus"),
+        total("__t").alias("n"), total(F.when(F.col("__m") == 0, F.col("__t"))).alias("n_zero"), F.sum(F.col("__r") * F.col("__up")).alias("r_plus"),
         F.sum(F.col("__r") * F.col("__down")).alias("r_minus"), F.coalesce(F.sum(F.when(F.col("__m") != 0, (F.pow("__t", F.lit(3)) - F.col("__t")) / 2)), F.lit(0.0)).alias("__ties"),
+        F.sum("__up").alias("__ups"), F.sum("__down").alias("__downs"),
     )
     n, z = F.col("n").cast("double"), F.col("n_zero").cast("double")
     mean = n * (n + 1) / 4 - z * (z + 1) / 4
@@ -91,22 +88,27 @@ def signed_rank(diffs: DataFrame, group: Sequence[str] = (), value: str = "diff"
     empty = F.col("n") == 0
     none = (F.col("n") == F.col("n_zero")) & ~empty
     statistic = F.least("r_plus", "r_minus")
+    plus, minus = F.col("r_plus") - z * F.col("__ups"), F.col("r_minus") - z * F.col("__downs")
     out = out.withColumns({
         "statistic": F.when(none, 0.0).otherwise(statistic), "z": F.when(~none & (variance > 0), (statistic - mean) / F.sqrt(variance)),
-        "state": F.when(empty, "EMPTY").when(none, "ALL_ZERO").otherwise("OK"),
+        "state": F.when(empty, "EMPTY").when(none, "ALL_ZERO").otherwise("OK"), "rank_biserial": F.coalesce(F.try_divide(plus - minus, plus + minus), F.lit(0.0)),
     })
-    return out.withColumn("p_value", F.when(none, 1.0).otherwise(normal_two_sided("z"))).drop("__ties")
+    return out.withColumn("p_value", F.when(none, 1.0).otherwise(normal_two_sided("z"))).drop("__ties", "__ups", "__downs")
+
+
+def signed_rank(diffs: DataFrame, group: Sequence[str] = (), value: str = "diff") -> DataFrame:
+    """Wilcoxon's signed-rank test with Pratt's zeros and the normal approximation, per group.
+
+    n, n_zero, r_plus, r_minus, statistic, z, p_value and state: OK, or ALL_ZERO with
+    statistic 0 and p 1, or EMPTY with null results for no difference at all, ungrouped.
+    Null differences are left out; a group without any is absent.
+    """
+    return signed_rank_report(diffs, group, value).drop("rank_biserial")
 
 
 def rank_biserial(diffs: DataFrame, group: Sequence[str] = (), value: str = "diff") -> DataFrame:
     """Matched-pairs effect size: zeros are dropped before ranking; 0 if all are zero."""
-    group = list(group)
-    known = diffs.where(F.col(value).isNotNull())
-    plus, minus = F.sum(F.col("__r") * F.col("__up")), F.sum(F.col("__r") * F.col("__down"))
-    size = _ranked_magnitudes(known.where(F.col(value) != 0), group, value).groupBy(*group).agg(F.try_divide(plus - minus, plus + minus).alias("rank_biserial"))
-    if not group:  # one row even if all are zero
-        return size.withColumn("rank_biserial", F.coalesce("rank_biserial", F.lit(0.0)))
-    return known.select(*group).distinct().join(size, group, "left").withColumn("rank_biserial", F.coalesce("rank_biserial", F.lit(0.0)))
+    return signed_rank_report(diffs, group, value).select(*group, "rank_biserial")
 
 
 def difference_summary(diffs: DataFrame, group: Sequence[str] = (), value: str = "diff") -> DataFrame:
@@ -271,7 +273,7 @@ def pairwise_report(values: DataFrame, pairs: Sequence[tuple[str, str]], metric_
     diffs = cut(per.withColumn("diff", F.when(F.col("n_common") >= 2, F.round("d", 9))).drop("d"))
     by = ["method_a", "method_b"]
     size = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_total"), F.count("diff").alias("n_included"))
-    out = size.join(signed_rank(diffs, by).drop("n"), by, "left").join(rank_biserial(diffs, by), by, "left")
+    out = size.join(signed_rank_report(diffs, by).drop("n"), by, "left")
     out = out.join(difference_summary(diffs, by).drop("n"), by, "left")
     out = out.withColumn("better", F.when(F.col("n_included") > 0, better_direction(F.col("mean"), metric_direction)))
     adjusted = holm(out.withColumn("__name", F.concat_ws("|", *by)), [], "p_value", "__name").select(*by, "adjusted_p")
@@ -292,11 +294,8 @@ def family_holm(reports: DataFrame, family: str, p: str = "p_value", order: str
 def one_sample_report(values: DataFrame, group: Sequence[str] = (), value: str = "diff") -> DataFrame:
     """Signed-rank test against 0, its effect size and the summary of commit values, in one row per group."""
     group = list(group)
-    parts = [signed_rank(values, group, value), rank_biserial(values, group, value), difference_summary(values, group, value).drop("n")]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.join(more, group, "left") if group else out.join(more)  # without groups one row each
-    return out
+    tests, summary = signed_rank_report(values, group, value), difference_summary(values, group, value).drop("n")
+    return tests.join(summary, group, "left") if group else tests.join(summary)  # without groups one row each
 
 
 def contrast(values: DataFrame, pair: tuple[str, str], family: str, role: str, repeats: int, salt: str) -> DataFrame:

@@ -26,22 +26,26 @@ def numbered(df: DataFrame, key: str, name: str, digits: int = 3) -> DataFrame:
     return placed.withColumn(name, F.col("__offset") + F.col("__at")).drop("__bucket", "__at", "__offset")
 
 
-#: Buckets into which the values of a group fall when sums are run over them.
-BUCKETS = 1024
+#: Steps into which the values between two powers of two fall when sums are run over them.
+STEPS = 256
+
+
+def _step(value: Column) -> Column:
+    """A number that never falls as the value grows: its power of two and the part of the way to the next."""
+    size = F.abs(value)
+    power = F.floor(F.log2(size))
+    at = (power + 1100) * STEPS + F.floor((size / F.pow(F.lit(2.0), power) - 1) * STEPS)
+    return F.when(value == 0, F.lit(0)).when(value > 0, at).otherwise(-at).cast("bigint")
 
 
 def running_before(df: DataFrame, group: Sequence[str], by: str, size: str, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``size`` over the rows of the group with a smaller ``by`` (a number, distinct within its group).
 
-    Values fall into equal steps between the least and the largest of their group; sums of
-    the steps are run over ``BUCKETS`` rows, and values are put in order within a step only.
+    Values fall into ``STEPS`` steps between any two powers of two; sums are run over the
+    steps, a few thousand at most, and values are put in order within a step only.
     """
     group = list(group)
-    v = F.col(by).cast("double")
-    ends = df.groupBy(*group).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-    rows = df.join(F.broadcast(ends), group) if group else df.join(F.broadcast(ends))  # without groups one row
-    step = F.floor(F.coalesce(F.try_divide(v - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0)) * BUCKETS)
-    rows = rows.withColumn("__step", step).drop("__lo", "__hi")
+    rows = df.withColumn("__step", _step(F.col(by).cast("double")))
     sums = rows.groupBy(*group, "__step").agg(F.sum(size).alias("__sum"))
     earlier = Window.partitionBy(*group).orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*group, "__step", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
