@@ -96,6 +96,9 @@ def settle(rows: Sequence[tuple[str, ...]], lines: Sequence[tuple[str, ...]], pr
 
 Found = list[tuple[int, int | None, str]]
 
+#: Rows to assign that a task takes at a time.
+BUCKET_ROWS = 20_000
+
 
 def _split(pdf: pd.DataFrame, keys: Sequence[str]) -> dict[tuple, list]:
     """Rows of a bucket by their keys, in order of place."""
@@ -109,7 +112,7 @@ def _split(pdf: pd.DataFrame, keys: Sequence[str]) -> dict[tuple, list]:
 
 def _in_buckets(a: DataFrame, b: DataFrame, unit: Sequence[str], keys: Sequence[str], solve: Callable[[list, list], Found]) -> DataFrame:
     """``solve`` for the rows and lines of every key. Keys are many and small, so a task takes a bucket of them at a time."""
-    buckets = shuffle_width(a.sparkSession)
+    buckets = max(shuffle_width(a.sparkSession), a.count() // BUCKET_ROWS + 1)
     at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("__bucket")
     n = len(unit)
 
@@ -172,12 +175,15 @@ def align(left: DataFrame, right: DataFrame, unit: Sequence[str], prefix: bool =
     order; others are AMBIGUOUS. States: UNIQUE, ORDERED, PREFIX, WINDOW, AMBIGUOUS, MISSING.
     """
     unit = list(unit)
-    a, b = (
-        x.select(*unit, F.col("place").cast("bigint").alias("place"), letters(F.col("text")).alias("cell_"), F.array_sort(forms(F.col("text"))).alias("forms")) for x in (left, right)
-    )
-    named = a.where(F.col("cell_").isNotNull())
+    # Forms are made after the lines that no row can be have been left out, so they are never shuffled for nothing.
+    plain = lambda x: x.select(*unit, F.col("place").cast("bigint").alias("place"), letters(F.col("text")).alias("cell_"), "text")
+    formed = lambda x: x.withColumn("forms", F.array_sort(forms(F.col("text")))).drop("text")
+    a = plain(left)
     cell = [*unit, "cell_"]
-    settled = _in_buckets(named, b.join(named.select(*cell).distinct(), cell, "left_semi"), unit, cell, _settler(prefix))
+    some = a.where(F.col("cell_").isNotNull())
+    b = cut(plain(right).join(some.select(*cell).distinct(), cell, "left_semi"))
+    named = formed(some)
+    settled = _in_buckets(named, formed(b), unit, cell, _settler(prefix))
     settled = settled.unionByName(a.where(F.col("cell_").isNull()).select(*unit, "place", F.lit(None).cast("bigint").alias("right_place"), F.lit("MISSING").alias("state")))
 
     settled = cut(settled)
@@ -192,7 +198,7 @@ def align(left: DataFrame, right: DataFrame, unit: Sequence[str], prefix: bool =
         *cell, "place", "forms", F.coalesce("__low.place", none).alias("low_row"), F.coalesce("__low.right_place", none).alias("low"), F.coalesce("__high.right_place", none).alias("high")
     )
     taken = settled.where(F.col("right_place").isNotNull()).select(*unit, F.col("right_place").alias("place"))
-    lines = b.join(open_.select(*cell).distinct(), cell, "left_semi").join(taken, [*unit, "place"], "left_anti")
+    lines = formed(b.join(open_.select(*cell).distinct(), cell, "left_semi").join(taken, [*unit, "place"], "left_anti"))
     more = _in_buckets(open_.drop("cell_"), lines.drop("cell_"), unit, unit, _in_windows).select(*unit, "place", F.col("right_place").alias("__found"))
     out = settled.join(more, [*unit, "place"], "left")
     found = F.col("__found").isNotNull()
@@ -232,10 +238,12 @@ def consume_once(left: DataFrame, right: DataFrame, unit: Sequence[str], rank: C
     lines is AMBIGUOUS and takes none, one without any is MISSING.
     """
     unit = list(unit)
-    at = lambda x: x.select(*unit, F.col("place").cast("bigint").alias("place"), letters(F.col("text")).alias("cell_"), F.array_sort(forms(F.col("text"))).alias("forms"), "rank")
-    a = at(left.withColumn("rank", F.lit(0)))
-    named = a.where(F.col("cell_").isNotNull())
+    plain = lambda x: x.select(*unit, F.col("place").cast("bigint").alias("place"), letters(F.col("text")).alias("cell_"), "text", "rank")
+    formed = lambda x: x.withColumn("forms", F.array_sort(forms(F.col("text")))).drop("text")
+    a = plain(left.withColumn("rank", F.lit(0)))
     cell = [*unit, "cell_"]
-    b = at(right.withColumn("rank", F.lit(0) if rank is None else rank)).join(named.select(*cell).distinct(), cell, "left_semi")
+    some = a.where(F.col("cell_").isNotNull())
+    named = formed(some)
+    b = formed(plain(right.withColumn("rank", F.lit(0) if rank is None else rank)).join(some.select(*cell).distinct(), cell, "left_semi"))
     found = _in_buckets(named, b, unit, cell, _first_free)
     return found.unionByName(a.where(F.col("cell_").isNull()).select(*unit, "place", F.lit(None).cast("bigint").alias("right_place"), F.lit("MISSING").alias("state")))
