@@ -62,7 +62,7 @@ def i17(spark: SparkSession, directory: str) -> DataFrame:
     f"""WITH {_DIFFS}, k AS (SELECT diff, rank() OVER (ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY abs(diff)) - 1) / 2 AS r FROM diffs WHERE diff IS NOT NULL),
     z AS (SELECT diff, rank() OVER (ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY abs(diff)) - 1) / 2 AS r FROM diffs WHERE diff <> 0)
     SELECT count(*) AS n, count_if(diff = 0) AS n_zero, coalesce(sum(r) FILTER (diff > 0), 0) AS r_plus, coalesce(sum(r) FILTER (diff < 0), 0) AS r_minus, round(avg(diff), 9) AS mean, round(quantile_cont(diff, 0.5), 9) AS median,
-        (SELECT round((sum(r) FILTER (diff > 0) - sum(r) FILTER (diff < 0)) / sum(r), 9) FROM z) AS rank_biserial FROM k""",
+        (SELECT round(coalesce((coalesce(sum(r) FILTER (diff > 0), 0) - coalesce(sum(r) FILTER (diff < 0), 0)) / sum(r), 0), 9) FROM z) AS rank_biserial FROM k""",
 )
 def i19(spark: SparkSession, directory: str) -> DataFrame:
     """Commit values against 0: test, effect size and summary in one row."""
