@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNITS = ("MESSAGE", "FILE_PATH", "FILE", "HUNK", "LINE")
@@ -105,6 +105,28 @@ def parts_of(files: Column) -> Column:
     return reduce(lambda a, b: F.concat(a, b), [F.array(region("MESSAGE")), each_file, F.flatten(F.transform(files, hunk))])
 
 
+def occlude_sums(hunks: DataFrame, messages: DataFrame) -> DataFrame:
+    """``occlude`` by ``parts_of`` for sums of effects: commit_id, unit, id, s_full, s_without and delta.
+
+    hunks: commit_id, path, hunk_ordinal, effect (the sum over its lines); messages:
+    commit_id, effect. What is left without a region is what stands before it and what
+    stands after it: sums run from both ends score every rest in one pass over the hunks,
+    where ``occlude`` goes through all lines of a commit for each of its regions.
+    """
+    name = F.concat("path", F.lit("#"), F.col("hunk_ordinal").cast("string"))
+    cells = [F.struct(F.lit(u).alias("unit"), i.alias("id")) for u, i in (("MESSAGE", F.lit("")), ("FILE", F.col("path")), ("HUNK", name))]
+    parts = hunks.select("commit_id", "effect", F.inline(F.array(*cells))).groupBy("commit_id", "unit", "id").agg(F.sum("effect").alias("effect"))
+    rows = parts.join(messages.select("commit_id", F.col("effect").alias("__message")), "commit_id", "left").withColumn("__message", F.coalesce("__message", F.lit(0.0)))
+    part = Window.partitionBy("commit_id", "unit")
+    run = lambda order: F.coalesce(F.sum("effect").over(part.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    lines = F.sum("effect").over(part)  # the one part of MESSAGE is all lines: what is left without it
+    rest = F.when(F.col("unit") == "MESSAGE", lines).otherwise(run(F.asc("id")) + run(F.desc("id")) + F.col("__message"))
+    own = F.when(F.col("unit") == "MESSAGE", F.col("__message")).otherwise(F.col("effect"))
+    rows = rows.select("commit_id", "unit", "id", (lines + F.col("__message")).alias("s_full"), rest.alias("s_without"), own.alias("__own"))
+    exact = F.abs("s_full") < 1e6  # beyond, or if it is no number, a difference of doubles doesn't hold nine digits; of sums it is the region's own
+    return rows.withColumn("delta", F.when(exact, F.col("s_full") - F.col("s_without")).otherwise(F.col("__own"))).drop("__own")
+
+
 def score_batches(df: DataFrame, ident: str, inputs: Sequence[str], scorer: Callable[[pa.RecordBatch], Sequence[tuple[float, float]]]) -> DataFrame:
     """ident, logit_0, logit_1 from a scorer that takes whole Arrow batches: the place for a model, loaded once per task by the caller's closure."""
     kind = dict(df.dtypes)[ident]
